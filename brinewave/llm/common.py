@@ -103,7 +103,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-_ODD = [_U((0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & 0xFFFFFFFFFFFFFFFF) for i in range(1, 65)]
+#: Multipliers without arithmetic structure: steps of a line would make
+#: windows with permuted words collide.
+_ODD = list(mix(np.arange(1, 65, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
