@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules
+from . import op1_quality_rules, op5_language_id
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
+    "op5_language_id": op5_language_id.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
