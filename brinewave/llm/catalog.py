@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op5_language_id
+from . import op1_quality_rules, op3_mixing, op5_language_id
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
+    "op3_mixing": op3_mixing.query,
     "op5_language_id": op5_language_id.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": op3_mixing.ORACLE_SQL,
+}
