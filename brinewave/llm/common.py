@@ -137,3 +137,23 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+# ---------------------------------------------------------------- training rows
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, bound: int, key: str = "doc_id", text: str = "text", seed: int = 7) -> DataFrame:
+    """h, label, text of about ``bound`` labelled rows, chosen by hash of the key.
+
+    The labels are thinned before they meet the texts, so the side that is
+    broadcast has a size bound (``bound`` plus six deviations) whatever the
+    size of either table, and the texts are not shuffled. ``usable`` maps the
+    key's column to the condition under which a row may be learned from.
+    """
+    rows = labels.select(F.col(key).alias("of"), F.col(label).cast("int").alias("label")).filter(usable(F.col("of")) & F.col("label").isin(0, 1) & F.col("of").isNotNull())
+    n = rows.count()
+    share = min(1.0, (bound - 3 * bound**0.5) / max(n, 1))
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col("of"), F.lit(seed)), 33)
+    thin = rows.withColumn("h", hashed).filter(F.col("h") < int(share * (1 << 31)) + 1)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return texts.join(F.broadcast(thin), F.col("key") == F.col("of")).select("h", "key", "label", F.coalesce("text", F.lit("")).alias("text"))
