@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_quality_classifier, op3_mixing, op5_language_id, op6_decontaminate, op7_minhash_dedup, op9_toxicity
+from . import op1_quality_rules, op2_quality_classifier, op3_mixing, op5_language_id, op6_decontaminate, op7_minhash_dedup, op8_warc, op9_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
@@ -11,9 +11,11 @@ QUERIES = {
     "op5_language_id": op5_language_id.query,
     "op6_decontaminate": op6_decontaminate.query,
     "op7_minhash_dedup": op7_minhash_dedup.query,
+    "op8_warc": op8_warc.query,
     "op9_toxicity": op9_toxicity.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": op3_mixing.ORACLE_SQL,
+    "op8_warc": op8_warc.ORACLE_SQL,
 }
