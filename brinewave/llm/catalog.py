@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_quality_classifier, op3_mixing, op5_language_id, op6_decontaminate, op7_minhash_dedup, op8_warc, op9_toxicity
+from . import op1_quality_rules, op2_quality_classifier, op3_mixing, op5_language_id, op6_decontaminate, op7_minhash_dedup, op8_warc, op9_toxicity, op10_license_scan
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
@@ -13,9 +13,11 @@ QUERIES = {
     "op7_minhash_dedup": op7_minhash_dedup.query,
     "op8_warc": op8_warc.query,
     "op9_toxicity": op9_toxicity.query,
+    "op10_license_scan": op10_license_scan.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": op3_mixing.ORACLE_SQL,
     "op8_warc": op8_warc.ORACLE_SQL,
+    "op10_license_scan": op10_license_scan.ORACLE_SQL,
 }
