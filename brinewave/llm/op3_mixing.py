@@ -116,16 +116,36 @@ def query(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+#: Taken rows up to this number are broadcast (a key and a count each).
+MAX_BROADCAST_ROWS = 2_000_000
+
+
 def sample_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as it is taken.
+    """The mixed corpus: the rows of ``docs``, each as often as it is taken,
+    with the number of the copy in ``copy``.
 
-    Copies are decided on narrow rows; the texts are joined to the taken ones
-    by key. Rows that share a key are told apart by size and order of copies
-    only if they are the same row, so give distinct keys.
+    Copies are decided on narrow rows and joined to the texts by key; the texts
+    are shuffled only if more rows are taken than may be broadcast, or if keys
+    repeat, where rows of a key are paired in order of size.
     """
-    taken = copies(sized(docs, key, source, text), **how).filter("copies > 0").select(F.col("key").alias("__op3_key"), F.col("copies").alias("__op3_copies"))
-    joined = docs.join(taken, docs[key].eqNullSafe(taken["__op3_key"]))
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__op3_copies").cast("int"))).alias("copy"))
+    decided = stash(copies(sized(docs, key, source, text), **how).select("key", "source", "size", "copies"), "op3-copies")
+    names = docs.columns
+    rows, on = docs, ["__op3_key"]
+    taken = decided.withColumnRenamed("key", "__op3_key")
+    if decided.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        turn = lambda *order: F.row_number().over(Window.partitionBy("__op3_key").orderBy(*order))
+        rows = docs.withColumn("__op3_key", F.col(key)).withColumn("__op3_turn", turn(word_count(F.col(text)), F.col(source)))
+        taken = taken.withColumn("__op3_turn", turn("size", "source"))
+        on.append("__op3_turn")
+    else:
+        rows = docs.withColumn("__op3_key", F.col(key))
+    taken = taken.filter("copies > 0").select(*(F.col(c).alias(f"{c}_taken") for c in on), F.col("copies").alias("__op3_copies"))
+    if len(on) == 1 and taken.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        taken = F.broadcast(taken)
+    met = rows["__op3_key"].eqNullSafe(taken["__op3_key_taken"])
+    if len(on) > 1:
+        met = met & (rows["__op3_turn"] == taken["__op3_turn_taken"])
+    return rows.join(taken, met).select(*names, F.explode(F.sequence(F.lit(1), F.col("__op3_copies").cast("int"))).alias("copy"))
 
 
 #: The same mix in DuckDB's dialect, with one window for each source instead of cells.
