@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-X, RATE = F.col("samples"), F.col("sample_rate")
+
+def x() -> Column:
+    return F.col("samples")
+
+
+def rate() -> Column:
+    return F.col("sample_rate")
 
 
 def n_samples() -> Column:
@@ -14,39 +20,39 @@ def n_samples() -> Column:
 
 def at_second(secs: float) -> Column:
     """Whole samples before a time, cut toward zero."""
-    return (F.lit(float(secs)) * RATE).cast("int")
+    return (F.lit(float(secs)) * rate()).cast("int")
 
 
 def crop_head(signals: DataFrame, secs: float) -> DataFrame:
     """Without the head; a signal that is no longer than it becomes one zero."""
     s = at_second(secs)
-    return signals.withColumn("samples", F.when(n_samples() > s, F.slice(X, s + 1, F.greatest(n_samples() - s, F.lit(0)))).otherwise(F.array(F.lit(0.0))))
+    return signals.withColumn("samples", F.when(n_samples() > s, F.slice(x(), s + 1, F.greatest(n_samples() - s, F.lit(0)))).otherwise(F.array(F.lit(0.0))))
 
 
 def mute_head(signals: DataFrame, secs: float) -> DataFrame:
     s = at_second(secs)
-    return signals.withColumn("samples", F.transform(X, lambda x, i: F.when(i < s, 0.0).otherwise(x)))
+    return signals.withColumn("samples", F.transform(x(), lambda x, i: F.when(i < s, 0.0).otherwise(x)))
 
 
 def duration_cap(signals: DataFrame, secs: float | None) -> DataFrame:
-    return signals if secs is None else signals.withColumn("samples", F.slice(X, F.lit(1), at_second(secs)))
+    return signals if secs is None else signals.withColumn("samples", F.slice(x(), F.lit(1), at_second(secs)))
 
 
 def time_window(signals: DataFrame, start: float, stop: float) -> DataFrame:
-    return signals.withColumn("samples", F.slice(X, at_second(start) + 1, F.greatest(at_second(stop) - at_second(start), F.lit(0))))
+    return signals.withColumn("samples", F.slice(x(), at_second(start) + 1, F.greatest(at_second(stop) - at_second(start), F.lit(0))))
 
 
 def pad_right(signals: DataFrame, length: int) -> DataFrame:
-    return signals.withColumn("samples", F.concat(X, F.array_repeat(F.lit(0.0), F.greatest(F.lit(length) - n_samples(), F.lit(0)))))
+    return signals.withColumn("samples", F.concat(x(), F.array_repeat(F.lit(0.0), F.greatest(F.lit(length) - n_samples(), F.lit(0)))))
 
 
 def decimate_stride(signals: DataFrame, max_pts: int, skip_secs: float = 0.0) -> DataFrame:
     """recording_id, i, t, amplitude: every stride-th sample after the head;
     the stride is of the whole length, so a few more than ``max_pts`` may come."""
     s, stride = at_second(skip_secs), F.greatest(F.lit(1), (n_samples() / max_pts).cast("int"))
-    rest = F.slice(X, F.least(s, n_samples()) + 1, F.greatest(n_samples() - s, F.lit(0)))
+    rest = F.slice(x(), F.least(s, n_samples()) + 1, F.greatest(n_samples() - s, F.lit(0)))
     cut = signals.select("recording_id", "sample_rate", rest.alias("samples"), stride.alias("stride")).filter(n_samples() > 0)
-    picked = F.transform(F.sequence(F.lit(0), n_samples() - 1, F.col("stride")), lambda k: F.element_at(X, k + 1))
+    picked = F.transform(F.sequence(F.lit(0), n_samples() - 1, F.col("stride")), lambda k: F.element_at(x(), k + 1))
     return cut.select("recording_id", "sample_rate", "stride", F.posexplode(picked).alias("i", "amplitude")).select(
         "recording_id", "i", (F.col("i") * F.col("stride") / F.col("sample_rate").cast("double")).alias("t"), "amplitude"
     )
@@ -64,8 +70,8 @@ def decimate_exact(signals: DataFrame, max_pts: int, compat_float32: bool = Fals
     else:
         whole = lambda i: i.cast("long") * n
         index = F.transform(k, lambda i: ((whole(i) - F.pmod(whole(i), F.lit(max_pts))) / max_pts).cast("int"))
-    gathered = F.transform(index, lambda i: F.element_at(X, F.least(i, n - 1) + 1))
-    padded = F.concat(X, F.array_repeat(F.lit(0.0), F.greatest(F.lit(max_pts) - n, F.lit(0))))
+    gathered = F.transform(index, lambda i: F.element_at(x(), F.least(i, n - 1) + 1))
+    padded = F.concat(x(), F.array_repeat(F.lit(0.0), F.greatest(F.lit(max_pts) - n, F.lit(0))))
     return signals.withColumn("samples", F.when(n > max_pts, gathered).otherwise(padded))
 
 

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-X, RATE = F.col("samples"), F.col("sample_rate")
+
+def x() -> Column:
+    return F.col("samples")
+
+
+def rate() -> Column:
+    return F.col("sample_rate")
 
 
 def signal_stats(signals: DataFrame) -> DataFrame:
@@ -14,7 +20,7 @@ def signal_stats(signals: DataFrame) -> DataFrame:
     One fold over each array, in the JVM: no row per sample and no shuffle. Zero
     counts as positive in crossings. An empty signal has zeros throughout.
     """
-    zero = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("squares"), F.lit(0).cast("long").alias("crossings"), (F.element_at(X, 1) < 0).alias("negative"))
+    zero = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("squares"), F.lit(0).cast("long").alias("crossings"), (F.element_at(x(), 1) < 0).alias("negative"))
 
     def step(acc: Column, x: Column) -> Column:
         return F.struct(
@@ -26,44 +32,44 @@ def signal_stats(signals: DataFrame) -> DataFrame:
         )
 
     n = F.size("samples").cast("double")
-    folded = signals.select("recording_id", "sample_rate", n.alias("n"), F.when(n > 0, F.aggregate(X, zero, step)).alias("a"))
+    folded = signals.select("recording_id", "sample_rate", n.alias("n"), F.when(n > 0, F.aggregate(x(), zero, step)).alias("a"))
     some = lambda c: F.coalesce(c, F.lit(0.0))
     n = F.nullif(F.col("n"), F.lit(0.0))
     return folded.select(
         "recording_id",
-        (F.greatest(F.col("n"), F.lit(0.0)) / RATE).alias("duration_sec"),
+        (F.greatest(F.col("n"), F.lit(0.0)) / rate()).alias("duration_sec"),
         some(F.col("a.peak")).alias("peak_abs"),
         some(F.col("a.sum") / n).alias("mean_abs"),
         some(F.sqrt(F.col("a.squares") / n)).alias("rms"),
-        some(F.col("a.crossings") / F.nullif(F.col("n") - 1, F.lit(0.0)) * RATE).alias("zcr_hz"),
+        some(F.col("a.crossings") / F.nullif(F.col("n") - 1, F.lit(0.0)) * rate()).alias("zcr_hz"),
     )
 
 
-def long_stats(samples: DataFrame, order: list[str], rate: float, center: bool = False) -> DataFrame:
+def long_stats(samples: DataFrame, order: list[str], hertz: float, center: bool = False) -> DataFrame:
     """The same from a row per sample (recording_id, amplitude, order columns)."""
     if center:
         means = samples.groupBy("recording_id").agg(F.avg("amplitude").alias("mu"))
         samples = samples.join(means, "recording_id").withColumn("amplitude", F.col("amplitude") - F.col("mu"))
-    x = F.col("amplitude")
-    before = F.lag(x).over(Window.partitionBy("recording_id").orderBy(*order))
-    rows = samples.withColumn("crossed", F.coalesce((x < 0) != (before < 0), F.lit(False)).cast("long"))
+    a = F.col("amplitude")
+    before = F.lag(a).over(Window.partitionBy("recording_id").orderBy(*order))
+    rows = samples.withColumn("crossed", F.coalesce((a < 0) != (before < 0), F.lit(False)).cast("long"))
     n = F.count(F.lit(1))
     return rows.groupBy("recording_id").agg(
-        (n / F.lit(float(rate))).alias("duration_sec"),
-        F.max(F.abs(x)).alias("peak_abs"),
-        F.avg(F.abs(x)).alias("mean_abs"),
-        F.sqrt(F.avg(x * x)).alias("rms"),
-        F.coalesce(F.sum("crossed") / F.nullif(n - 1, F.lit(0)) * F.lit(float(rate)), F.lit(0.0)).alias("zcr_hz"),
+        (n / F.lit(float(hertz))).alias("duration_sec"),
+        F.max(F.abs(a)).alias("peak_abs"),
+        F.avg(F.abs(a)).alias("mean_abs"),
+        F.sqrt(F.avg(a * a)).alias("rms"),
+        F.coalesce(F.sum("crossed") / F.nullif(n - 1, F.lit(0)) * F.lit(float(hertz)), F.lit(0.0)).alias("zcr_hz"),
     )
 
 
 def amplitude_fraction(threshold: float) -> Column:
     """Share of the samples at or above a level."""
-    return F.size(F.filter(X, lambda x: F.abs(x) >= threshold)) / F.nullif(F.size(X), F.lit(0)).cast("double")
+    return F.size(F.filter(x(), lambda x: F.abs(x) >= threshold)) / F.nullif(F.size(x()), F.lit(0)).cast("double")
 
 
 def peak() -> Column:
-    return F.array_max(F.transform(X, F.abs))
+    return F.array_max(F.transform(x(), F.abs))
 
 
 def high_amplitude(signals: DataFrame, level: float = 0.3, min_share: float = 5e-6) -> DataFrame:
