@@ -2,8 +2,8 @@
 trained in numpy, that scores all overlapping windows of a text.
 
 A word's input is its log-odds of toxicity (shrunk, counted on the training
-sample), a small embedding of its hash, and the mean embedding of its character
-trigrams. Windows are ``WINDOW`` words, one every ``STRIDE``; the text's score
+sample), the highest log-odds of its runs of five characters, a small embedding
+of its hash, and the mean embedding of its character trigrams. Windows are ``WINDOW`` words, one every ``STRIDE``; the text's score
 is its highest window's. Training takes, for every document, the window that
 now scores highest (and a random one of clean documents), as the labels are of
 whole texts.
@@ -31,7 +31,7 @@ from .common import bucket_of, labelled_sample, mix, small_batches, table, text_
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 3, 4, 8
-WORD_BITS, CHAR_BITS = 16, 12
+WORD_BITS, CHAR_BITS, RUN_BITS, RUN = 16, 12, 18, 5
 #: Labelled rows that the model is fitted on, about, and words used of each.
 TRAIN_DOCS, TRAIN_WORDS = 5000, 4000
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.01, 9
@@ -57,15 +57,30 @@ def normal(words: list[bytes]) -> list[bytes]:
     return [w.strip(PUNCT).lower() for w in words]
 
 
-def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte trigrams of ^word$ and the word each belongs to."""
+def grams_of(words: list[bytes], width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte n-grams of ^word$ and the word each belongs to."""
     data = np.frombuffer(b"".join(b"^%b$" % w for w in words), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
-    if len(data) < 3:
+    n = len(data) - width + 1
+    if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    code = (data[:-2] << np.uint64(16)) | (data[1:-1] << np.uint64(8)) | data[2:]
-    inside = owner[:-2] == owner[2:]
-    return (mix(code[inside]) >> np.uint64(64 - CHAR_BITS)).astype(np.int64), owner[:-2][inside]
+    code = data[:n].copy()
+    for k in range(1, width):
+        code = (code << np.uint64(8)) | data[k : k + n]
+    inside = owner[:n] == owner[width - 1 :]
+    return (mix(code[inside]) >> np.uint64(64 - bits)).astype(np.int64), owner[:n][inside]
+
+
+def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return grams_of(words, 3, CHAR_BITS)
+
+
+def highest(odds: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Of each word the highest log-odds of its runs, 0 if it has none above."""
+    out = np.zeros(len(words))
+    runs, owner = grams_of(words, RUN, RUN_BITS)
+    np.maximum.at(out, owner, odds[runs])
+    return out
 
 
 def window_rows(n: int) -> np.ndarray:
@@ -78,6 +93,7 @@ def window_rows(n: int) -> np.ndarray:
 @dataclass
 class Model:
     odds: np.ndarray  # [1 << WORD_BITS]
+    runs: np.ndarray  # [1 << RUN_BITS]
     p: dict[str, np.ndarray] | None  # parameters; None: ``base`` for every text
     base: float
 
@@ -87,7 +103,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def new_parameters(rng: np.random.Generator, prior: float) -> dict[str, np.ndarray]:
-    d = 1 + WORD_DIM + CHAR_DIM
+    d = 2 + WORD_DIM + CHAR_DIM
     p = {"word": np.zeros((1 << WORD_BITS, WORD_DIM)), "char": rng.normal(0, 0.1, (1 << CHAR_BITS, CHAR_DIM))}
     for side in "fb":
         p["x" + side] = rng.normal(0, d**-0.5, (d, 3 * HIDDEN))
@@ -100,12 +116,12 @@ def new_parameters(rng: np.random.Generator, prior: float) -> dict[str, np.ndarr
     return p
 
 
-def inputs(odds: np.ndarray, p: dict[str, np.ndarray], buckets: np.ndarray, grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """[words, inputs]; a word of punctuation alone has no trigram and a zero there."""
+def inputs(odds: np.ndarray, runs: np.ndarray, p: dict[str, np.ndarray], buckets: np.ndarray, grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """[words, inputs], of the words' odds and highest odds of runs; a word of punctuation alone has no trigram and a zero there."""
     n = len(buckets)
     share = np.bincount(owner, minlength=n).clip(1)
     char = np.stack([np.bincount(owner, p["char"][grams, k], minlength=n) for k in range(CHAR_DIM)], 1) / share[:, None]
-    return np.concatenate((odds[buckets][:, None], p["word"][buckets], char), 1)
+    return np.concatenate((odds[:, None], runs[:, None], p["word"][buckets], char), 1)
 
 
 def gru(proj: np.ndarray, ids: np.ndarray, u: np.ndarray, back: bool, keep: list | None = None) -> np.ndarray:
@@ -188,9 +204,9 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, y: np.nd
     return loss, g, d_x
 
 
-def log_odds(docs: list[tuple[np.ndarray, int]]) -> np.ndarray:
+def log_odds(docs: list[tuple[np.ndarray, int]], bits: int = WORD_BITS) -> np.ndarray:
     """Shrunk log of a bucket's rate of toxic documents over the sample's."""
-    seen, bad = np.zeros(1 << WORD_BITS), np.zeros(1 << WORD_BITS)
+    seen, bad = np.zeros(1 << bits), np.zeros(1 << bits)
     for buckets, label in docs:
         at = np.unique(buckets)
         seen[at] += 1
@@ -203,7 +219,7 @@ def train(texts: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED
     """The model of texts with labels, in the order given."""
     toxic = sum(y for _, y in texts)
     if not 0 < toxic < len(texts):
-        return Model(np.zeros(1 << WORD_BITS), None, toxic / len(texts) if texts else 0.0)
+        return Model(np.zeros(1 << WORD_BITS), np.zeros(1 << RUN_BITS), None, toxic / len(texts) if texts else 0.0)
     rng = np.random.default_rng(seed)
     number: dict[bytes, int] = {}
     docs = [(np.array([number.setdefault(w, len(number)) for w in normal(t.split()[:TRAIN_WORDS])], np.int64), y) for t, y in texts]
@@ -214,7 +230,20 @@ def train(texts: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED
     order = np.argsort(owner, kind="stable")
     grams, owner = grams[order], owner[order]
     ends = np.searchsorted(owner, np.arange(len(words) + 1))
-    halves = [log_odds([(buckets[d], y) for d, y in docs[k::2]]) for k in (1, 0)]  # of the other half
+    run, run_of = grams_of(words, RUN, RUN_BITS)
+    run_ends = np.searchsorted(run_of, np.arange(len(words) + 1))
+
+    def runs_of(ids: np.ndarray) -> np.ndarray:
+        ids = np.unique(ids)
+        return np.concatenate([run[run_ends[w] : run_ends[w + 1]] for w in ids]) if len(ids) else run[:0]
+
+    def counted(part: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+        return log_odds([(buckets[d], y) for d, y in part]), log_odds([(runs_of(d), y) for d, y in part], RUN_BITS)
+
+    def odds_of(pair: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return pair[0][buckets], highest(pair[1], words)
+
+    halves = [odds_of(counted(docs[k::2])) for k in (1, 0)]  # of the other half
     p = new_parameters(rng, min(max(toxic / len(docs), 0.01), 0.5))
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
 
@@ -225,7 +254,7 @@ def train(texts: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED
 
     batch = min(BATCH, max(32, len(docs) // 8))
     for _ in range(max(epochs, -(-MIN_STEPS * batch // (2 * len(docs))))):
-        full = [inputs(o, p, buckets, grams, owner).astype(np.float32) for o in halves]
+        full = [inputs(*o, p, buckets, grams, owner).astype(np.float32) for o in halves]
         p32 = {k: x.astype(np.float32) for k, x in p.items() if k not in ("word", "char")}
         proj = [projections(x, p32) for x in full]
         chosen: list[tuple[int, np.ndarray, int]] = []
@@ -259,25 +288,26 @@ def train(texts: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED
                     continue
                 pieces = np.concatenate([np.arange(ends[w], ends[w + 1]) for w in used])
                 own_of = np.repeat(np.arange(len(used)), ends[used + 1] - ends[used])
-                x = inputs(halves[half], p, buckets[used], grams[pieces], own_of)
+                x = inputs(halves[half][0][used], halves[half][1][used], p, buckets[used], grams[pieces], own_of)
                 shown = (rng.random(len(used)) >= DROP)[:, None] / (1 - DROP)
-                x[:, 1:] *= shown
+                x[:, 2:] *= shown
                 _, g, d_x = gradients(p, x, local, y)
-                d_x[:, 1:] *= shown
+                d_x[:, 2:] *= shown
                 step += 1
                 for key, grad in g.items():
                     adam(key, grad)
                 at = buckets[used]
                 one = np.unique(at)
                 d_word = np.zeros((len(one), WORD_DIM))
-                np.add.at(d_word, np.searchsorted(one, at), d_x[:, 1 : 1 + WORD_DIM])
+                np.add.at(d_word, np.searchsorted(one, at), d_x[:, 2 : 2 + WORD_DIM])
                 adam("word", d_word, one)
                 share = np.bincount(own_of, minlength=len(used)).clip(1)
-                d_char = d_x[:, 1 + WORD_DIM :] / share[:, None]
+                d_char = d_x[:, 2 + WORD_DIM :] / share[:, None]
                 one, back = np.unique(grams[pieces], return_inverse=True)
                 d_gram = np.stack([np.bincount(back, d_char[own_of, k2], minlength=len(one)) for k2 in range(CHAR_DIM)], 1)
                 adam("char", d_gram, one)
-    return Model(log_odds([(buckets[d], y) for d, y in docs]).astype(np.float32), {k: x.astype(np.float32) for k, x in p.items()}, 0.0)
+    whole = counted(docs)
+    return Model(whole[0].astype(np.float32), whole[1].astype(np.float32), {k: x.astype(np.float32) for k, x in p.items()}, 0.0)
 
 
 class Scorer:
@@ -290,7 +320,8 @@ class Scorer:
 
     def learn(self, words: list[bytes]) -> None:
         grams, owner = trigrams(plain := normal(words))
-        x = inputs(self.model.odds, self.model.p, word_bucket(plain), grams, owner).astype(np.float32)
+        at = word_bucket(plain)
+        x = inputs(self.model.odds[at], highest(self.model.runs, plain), self.model.p, at, grams, owner).astype(np.float32)
         first, second = projections(x, self.model.p)
         at = len(self.row)
         need = at + len(words) + 1

@@ -11,7 +11,7 @@ from brinewave.llm import op9_toxicity as op
 def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
     p = op.new_parameters(rng, 0.2)
-    x = rng.normal(size=(9, 1 + op.WORD_DIM + op.CHAR_DIM))
+    x = rng.normal(size=(9, 2 + op.WORD_DIM + op.CHAR_DIM))
     ids = np.where(rng.random((5, op.WINDOW)) < 0.8, rng.integers(0, 9, (5, op.WINDOW)), -1)
     ids.sort(axis=1)
     ids = ids[:, ::-1]  # words first, then what lies beyond the end
@@ -60,6 +60,19 @@ def test_training_finds_toxic_words_anywhere_and_scorer_equals_one_by_one():
     assert together[4] > 0.5
 
 
+def test_word_forms_of_a_toxic_stem_are_found():
+    rng = random.Random(6)
+    form = lambda: "grobl" + "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for t, y in corpus(500, 3):
+        words = [w for w in t.decode().split() if w[0] == "w"] or ["w1"]
+        if y:
+            words[rng.randrange(len(words))] = form()
+        rows.append((" ".join(words).encode(), y))
+    s = op.Scorer(op.train(rows[:400]))([t for t, _ in rows[400:]])
+    assert np.mean((s >= 0.5) == [y for _, y in rows[400:]]) > 0.95
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 31, 32, 33, 48, 49, 1000):
         rows = op.window_rows(n)
