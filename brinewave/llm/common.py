@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, newline, VT, FF and CR.
@@ -64,7 +64,29 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _reread(spark, path, df)
+
+
+def stash_counted(df: DataFrame, label: str) -> tuple[DataFrame, int, int]:
+    """As :func:`stash`, with the number of rows and an order-free checksum of
+    them, which are observed as they are written."""
+    spark = df.sparkSession
+    path, seen = new_folder(spark, label), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.shiftright(F.xxhash64(*df.columns), 24)), F.lit(0)).alias("s")).write.parquet(path)
+    return _reread(spark, path, df), int(seen.get["n"]), int(seen.get["s"])
+
+
+def _reread(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stash_path = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what :func:`stash` wrote for frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "stash_path", None):
+            drop_folder(df.sparkSession, path)
 
 
 # ------------------------------------------------------------------ columns

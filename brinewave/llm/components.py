@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_folder, new_folder
+from .common import discard, stash
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,21 +16,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the shuffle, and a join of the edges with one row per node, so neither
     neighbours nor components are gathered anywhere.
     """
-    spark = edges.sparkSession
-    old = None
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("w")).filter("u <> w").distinct()
-    before = None
+    steps = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("w")).filter("u <> w").distinct()
+    now = None
     while True:
-        path = new_folder(spark, "edges")
-        now.write.parquet(path)
-        if old:
-            drop_folder(spark, old)
-        old = path
-        now = spark.read.schema("u long, w long").parquet(path)
-        state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "w"))).first())
-        if state == before or not state[0]:
+        last = now
+        now = stash(steps, "edges")
+        if last is not None:
+            discard(last)
+        # stars: a node has one smaller neighbour or larger ones, not both
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("w", F.lit(0), F.lit(1)))
+        odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up + down > 1")
+        if not odd.limit(1).count():
             return now.select(F.col("u").alias("node"), F.col("w").alias("component")).union(now.select("w", "w").distinct())
-        before = state
         # large star: every larger neighbour moves to the smallest of the neighbourhood
         both = now.union(now.select("w", "u"))
         low = both.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
@@ -39,4 +36,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("of"), "m")
         small = large.join(low, large["u"] == low["of"])
         moved = small.filter("w <> m").select(F.col("w").alias("u"), F.col("m").alias("w"))
-        now = moved.union(low.select("of", "m")).distinct()
+        steps = moved.union(low.select("of", "m")).distinct()

@@ -5,16 +5,19 @@
    ``K`` smallest hashes, of one hash function.
 2. Documents with equal sets are one class; its smallest id stands for it.
 3. Inverted lists of the retained values. Two sets that are similar enough
-   share many of the values they retain (surely or, for sketches, but for a
-   chance of some 1e-5 at the very threshold), so it suffices that one of a
-   document's rarest ones is shared: by the prefix rule, of s values with t
-   shared, one is among the s - t + 1 rarest of either. Values that one class
-   alone retains use up places and make no list, so common lines and passages
-   generate nothing for documents that have enough of their own.
+   share many of the values they retain (surely where both are retained whole,
+   else but for a chance of some 1e-5 at the very threshold), so it suffices
+   that one of a document's rarest ones is shared: by the prefix rule, of s
+   values with t shared, one is among the s - t + 1 rarest of either. Values
+   that one class alone retains use up places and make no list, so common lines
+   and passages generate nothing for documents that have enough of their own.
+   Members of long lists are sketched again with ``LONG_K`` values, which bounds
+   the share more tightly (and exactly for most texts); the lists of those
+   sketches take the place of the long ones.
 4. Lists are worked off in rounds of hubs: a list's members are compared with
-   its first member, then its next 3, 12, 48, ...; pairs that are in one
-   component by then are left out, and a list that lies within one component
-   is finished. A group of thousands of copies is so linked through a few hubs
+   its first member, then its next 7, 56, ...; pairs that are in one component
+   by then are left out, as are those whose places in the list leave too few
+   values to share, and a list that lies within one component is finished. A group of thousands of copies is so linked through a few hubs
    and is never expanded into its pairs; no pair of different components that
    shares a list is left untested.
 5. A candidate pair is estimated on the K smallest values of the union of the
@@ -37,17 +40,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, stash, table, text_bytes, window_hashes, word_hashes
+from .common import discard, mix, small_batches, stash, stash_counted, table, text_bytes, window_hashes, word_hashes
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
 K = 64
-#: Values of K that a pair at the threshold shares but for a chance of 2e-5
-#: (mean 48, deviation 3.5).
-SHARED = 33
-#: First hub rounds: ranks from, to; later rounds are four times as wide.
-WIDEN = 4
+#: Members of lists longer than LONG are sketched again with so many values.
+LONG, LONG_K = 64, 512
+#: Each round has so many times the hubs of all before it.
+WIDEN = 7
 #: Ids up to this number are broadcast (16 MB); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -113,33 +115,51 @@ def semi(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -
     return rows.join(ids, column, how)
 
 
-def needed(n: Column, k: int = K, shared: int = SHARED, percent: int = PERCENT) -> tuple[Column, Column]:
-    """Values that are retained of a set of n, and how many of them a pair
-    shares: exact where both sets are retained whole."""
-    kept = F.least(n, F.lit(k))
-    whole = n * 100 <= percent * k
-    return kept, F.when(whole, F.ceil(n * percent / F.lit(100.0))).otherwise(F.lit(shared)).cast("long")
+def shared_values(k: int, percent: int = PERCENT) -> int:
+    """Of the k values of a union's sketch, how many a pair at the threshold
+    shares: 4.25 deviations below the mean, a chance of 2e-5 to have fewer."""
+    p = percent / 100
+    return int(k * p - 4.25 * (k * p * (1 - p)) ** 0.5)
 
 
-def inverted_lists(reps: DataFrame) -> DataFrame:
-    """v, rep, rank, size: the lists that remain after the prefix rule.
-    reps: rep, n, sketch, a row per class."""
+def inverted_lists(reps: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
+    """v, rep, n, left: the lists that remain after the prefix rule; left is the
+    number of a member's values from this one on, in order of rarity.
+
+    reps: rep, n, sketch (of k values), a row per class.
+    """
     entries = reps.select("rep", F.explode("sketch").alias("v")).repartition("v")
     # lowest and highest tell whether a value is in two sketches at least; as
     # they read all columns, one exchange serves the aggregate and the join
     common = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("v", "c")
-    by_rep = entries.join(common, "v").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("found"))  # K at most
-    kept, shared = needed(F.col("n"))
+    by_rep = entries.join(common, "v").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("found"))  # k at most
+    kept = F.least("n", F.lit(k))
+    # a partner of a set this small is retained whole, too
+    shared = F.when(F.col("n") * 100 <= percent * k, F.ceil(F.col("n") * percent / F.lit(100.0))).otherwise(F.lit(shared_values(k, percent)))
     own = kept - F.size("found")
-    take = (kept - shared + 1 - own).cast("int")
-    cut = by_rep.join(reps.select("rep", "n"), "rep").withColumn("take", take).filter("take > 0")
-    listed = stash(cut.select("rep", F.explode(F.slice("found", F.lit(1), F.col("take"))).alias("x")).select("rep", F.col("x.v").alias("v")), "op7-listed")
-    sizes = listed.groupBy("v").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return listed.join(sizes, "v").withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("rep")))
+    cut = by_rep.join(reps.select("rep", "n"), "rep").withColumn("take", (kept - shared + 1 - own).cast("int")).filter("take > 0")
+    placed = cut.select("rep", "n", F.posexplode(F.slice("found", F.lit(1), F.col("take"))).alias("at", "x"), (kept - own).alias("rest"))
+    return placed.select(F.col("x.v").alias("v"), "rep", "n", (F.col("rest") - F.col("at")).cast("int").alias("left"))
+
+
+def with_sizes(lists: DataFrame) -> DataFrame:
+    """Lists of two members or more, with their size."""
+    sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return lists.join(sizes, "v")
+
 
+def could_share(k: int, left: Column, n_a: Column, n_b: Column, percent: int = PERCENT) -> Column:
+    """Whether sets with at most ``left`` values in common can be similar. At the
+    rarest value that a pair shares, left is a bound; at others it may be too
+    low, which loses nothing, as the pair is met there as well."""
+    fit = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
+    whole = (n_a <= k) & (n_b <= k)
+    return fit & F.when(whole, left * 100 >= percent * (n_a + n_b - left)).otherwise(left >= shared_values(k, percent))
 
-def links(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, k: int = K, shared: int = SHARED, percent: int = PERCENT) -> DataFrame:
-    """The pairs a, b that are similar enough: estimate first, then full sets."""
+
+def links(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b and further columns) that are similar enough: estimate
+    first, then full sets."""
     side = lambda x, c: sketch.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(c))
     near = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").filter(
         (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
@@ -147,39 +167,54 @@ def links(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, k: int = K, shar
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     # where the union is retained whole the share is the similarity itself
-    enough = F.when(F.size(F.array_union("sa", "sb")) < k, both * 100 >= percent * F.size(F.array_union("sa", "sb"))).otherwise(both >= shared)
-    near = near.filter(enough).select("a", "b", "n_a", "n_b")
+    enough = F.when(F.size(F.array_union("sa", "sb")) < k, both * 100 >= percent * F.size(F.array_union("sa", "sb"))).otherwise(both >= shared_values(k, percent))
+    near = near.filter(enough).select(*pairs.columns, "n_a", "n_b")
     full = lambda x, c: sets.select(F.col("of").alias(x), F.col("items").alias(c))
     common = F.size(F.array_intersect("ia", "ib")).cast("long")
-    return near.join(full("a", "ia"), "a").join(full("b", "ib"), "b").filter(common * 100 >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+    return near.join(full("a", "ia"), "a").join(full("b", "ib"), "b").filter(common * 100 >= percent * (F.col("n_a") + F.col("n_b") - common)).select(*pairs.columns)
 
 
 def representative_components(docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame:
     """node, component for the classes that are linked to another."""
     spark = docs.sparkSession
-    active = stash(inverted_lists(reps), "op7-lists")
-    listed = active.select(F.col("rep").alias("of")).distinct()
+    short = stash(with_sizes(stash(inverted_lists(reps, K), "op7-listed")), "op7-short")
+    listed = short.select(F.col("rep").alias("of")).distinct()
     sketch = stash(reps.join(listed, reps["rep"] == listed["of"], "left_semi"), "op7-sketches")
     members = sketch.select(F.col("rep").alias("of"), "s1", "s2")
     sets = stash(full_sets(docs, members, key, text), "op7-sets")
-    labels = spark.createDataFrame([], "node long, component long")
+    crowded = short.filter(F.col("size") > LONG).select(F.col("rep").alias("of")).distinct()
+    again = sets.join(crowded, "of", "left_semi").dropDuplicates(["of"]).select(F.col("of").alias("rep"), F.size("items").cast("long").alias("n"), F.slice("items", 1, LONG_K).alias("sketch"))
+    long = with_sizes(stash(inverted_lists(again, LONG_K), "op7-listed-again"))
+    both = short.filter(F.col("size") <= LONG).withColumn("k", F.lit(K)).unionByName(long.withColumn("k", F.lit(LONG_K)))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("k", "v").orderBy("rep")))
+    named, left, _ = stash_counted(ranked.withColumn("label", F.col("rep")), "op7-lists")
+    merges: list[DataFrame] = []  # of each round: label, and the label of the component that it is now in
     low, high = 1, 2
-    while True:
-        named = active.join(labels, active["rep"] == labels["node"], "left").select("v", "rep", "rank", "size", F.coalesce("component", "rep").alias("label"))
-        if low > 1:  # drop the lists that lie within a component, or whose pairs are all tested
-            spread = named.filter(F.col("size") > low).groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("v")
-            named = named.join(spread, "v", "left_semi")
-        named = stash(named, "op7-named")
-        if not named.limit(1).count():
-            return labels
-        hubs = named.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("v", F.col("rep").alias("a"), F.col("rank").alias("at"), F.col("label").alias("la"))
-        pairs = named.join(hubs, "v").filter((F.col("rank") > F.col("at")) & (F.col("la") != F.col("label"))).select("a", F.col("rep").alias("b")).distinct()
-        found = stash(links(pairs, sketch, sets), "op7-links")
-        # old components stay together through a star of their own
-        edges = found.union(labels.filter("node <> component"))
-        labels = stash(components(edges), "op7-components")
-        active = named.drop("label")
-        low, high = high, high + WIDEN * (high - low) - (1 if low == 1 else 0)
+    while left:
+        hubs = named.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("k", "v", F.col("rep").alias("a"), F.col("rank").alias("at"), F.col("label").alias("la"), F.col("n").alias("n_hub"), F.col("left").alias("left_hub"))
+        bound = F.least("left", "left_hub")
+        fits = F.when(F.col("k") == K, could_share(K, bound, F.col("n"), F.col("n_hub"))).otherwise(could_share(LONG_K, bound, F.col("n"), F.col("n_hub")))
+        met = named.join(hubs, ["k", "v"]).filter((F.col("rank") > F.col("at")) & (F.col("la") != F.col("label")) & fits)
+        pairs = met.select("a", F.col("rep").alias("b"), "la", F.col("label").alias("lb")).distinct()
+        found, n, _ = stash_counted(links(pairs, sketch, sets), "op7-links")
+        rows = named.filter(F.col("size") > high)
+        if n:
+            # only labels are merged: what is one component by now is one node
+            merges.append(stash(components(found, "la", "lb"), "op7-merges"))
+            rows = rows.join(merges[-1], rows["label"] == merges[-1]["node"], "left").withColumn("label", F.coalesce("component", "label")).drop("node", "component")
+        # what lies within one component is finished
+        spread = rows.groupBy("k", "v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("k", "v")
+        old = named
+        named, left, _ = stash_counted(rows.join(spread, ["k", "v"], "left_semi"), "op7-lists")
+        discard(old, found)
+        low, high = high, high + WIDEN * (high - 1)
+    discard(named, sets, sketch, short)
+    labels = spark.createDataFrame([], "node long, component long")
+    for merge in merges:
+        step = merge.select(F.col("node").alias("was"), F.col("component").alias("now"))
+        known = labels.join(step, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+        labels = known.union(merge.join(labels.select("node"), "node", "left_anti").select("node", "component"))
+    return labels
 
 
 def label_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,6 +227,7 @@ def label_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         first_rows = first_rows.dropDuplicates(["key"])
     reps = stash(first_rows.select(F.col("key").alias("rep"), "n", "s1", "s2", "sketch"), "op7-reps")
     linked = representative_components(docs, reps, key, text)
+    discard(reps)
     named = stash(
         classes.join(linked, classes["rep"] == linked["node"], "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep").alias("class_component")), "op7-named-classes"
     )
