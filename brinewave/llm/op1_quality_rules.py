@@ -143,7 +143,7 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
     return (
         measured.join(verdicts, measured["host"].eqNullSafe(verdicts["of"]), "left")
         .withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
-        .select(F.col("key").alias(key), *MEASURES, "base_failed", "kept", "host_docs", "host_fails", "host_rate")
+        .select(F.col("key").alias(key), *MEASURES, "base_failed", "kept", "host_docs", "host_fails", F.round("host_rate", 9).alias("host_rate"))
     )
 
 
@@ -177,3 +177,24 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", text
 
 def query(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
+
+
+#: The same in DuckDB's dialect.
+ORACLE_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(words[i:i + {WINDOW - 1}], ' ')) AS times
+  FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM split)),
+repeated AS (SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest(range(i, i + {WINDOW})) AS place FROM windows WHERE times > 1) GROUP BY rid),
+measured AS (
+  SELECT s.rid, doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM split s LEFT JOIN repeated USING (rid)),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM measured),
+hosts AS (SELECT source, count(*) AS host_docs, CAST(sum(CAST(base_failed AS INT)) AS BIGINT) AS host_fails FROM judged GROUP BY source),
+moments AS (SELECT greatest(least(avg(host_fails / host_docs), 0.999::DOUBLE), 0.001::DOUBLE) AS m, var_pop(host_fails / host_docs) AS v, avg(1 / host_docs) AS inv FROM hosts),
+prior AS (SELECT m, CASE WHEN v - m * (1 - m) * inv > 0 THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 2), 10000) WHEN v > 0 THEN 10000 ELSE 2 END AS strength FROM moments),
+verdicts AS (SELECT source, host_docs, host_fails, (host_fails + m * strength) / (host_docs + strength) AS host_rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= {MAX_HOST_RATE} AS kept, host_docs, host_fails, round(host_rate, 9) AS host_rate
+FROM judged j JOIN verdicts h ON j.source IS NOT DISTINCT FROM h.source
+"""

@@ -245,3 +245,21 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
 def query(spark, sf_dir: str) -> DataFrame:
     return label_documents(table(spark, sf_dir, "documents"))
+
+
+#: The same over all pairs that share a shingle, in DuckDB's dialect.
+ORACLE_SQL = rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {SHINGLE} THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' ')) END) AS g FROM split
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, component) AS (
+  SELECT doc_id, doc_id FROM split UNION SELECT b, component FROM reach JOIN both_ways ON a = node
+), lowest AS (SELECT node, min(component) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM split d JOIN lowest ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""

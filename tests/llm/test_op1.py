@@ -2,10 +2,15 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 from collections import Counter
+from pathlib import Path
 
 from brinewave.llm import op1_quality_rules as op
 
+sys.path.insert(0, str(Path(__file__).parent))
+from oracle import duck  # noqa: E402
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -52,3 +57,9 @@ def test_extra_columns_and_empty(spark, docs):
     assert {r.doc_id for r in op.apply_rules(wide).collect()} == {r.doc_id for r in op.judge(wide).collect() if r.kept}
     empty = docs.limit(0)
     assert op.judge(empty).count() == 0 and op.apply_rules(empty).count() == 0
+
+
+def test_oracle(spark, docs):
+    for frame in (docs, docs.limit(0)):
+        table = frame.select("doc_id", "source", "text").toPandas().astype({"doc_id": "Int64"})
+        assert sorted(map(tuple, op.judge(frame).collect()), key=str) == sorted(duck(op.ORACLE_SQL, documents=table), key=str)
