@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": op1_quality_rules.ORACLE_SQL,
     "op3_mixing": op3_mixing.ORACLE_SQL,
+    "op6_decontaminate": op6_decontaminate.ORACLE_SQL,
     "op7_minhash_dedup": op7_minhash_dedup.ORACLE_SQL,
     "op8_warc": op8_warc.ORACLE_SQL,
     "op10_license_scan": op10_license_scan.ORACLE_SQL,

@@ -200,3 +200,47 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
 
 def query(spark, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _in(words: frozenset[bytes]) -> str:
+    return ", ".join(f"'{w.decode()}'" for w in sorted(words))
+
+
+#: The same in DuckDB's dialect, with the templates themselves instead of hashes.
+ORACLE_SQL = rf"""
+WITH rows_in AS (
+  SELECT row_number() OVER () AS rid, false AS item, doc_id AS id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT row_number() OVER (), true, item_id, text FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)
+), words AS (
+  SELECT item, rid, id, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM rows_in)
+), cores AS (
+  SELECT *, regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') AS core, regexp_matches(w, '[.!?:]$') AS ends FROM words
+), lowered AS (
+  SELECT *, translate(core, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, coalesce(lag(ends) OVER (PARTITION BY item, rid ORDER BY i), true) AS starts FROM cores
+), kinds AS (
+  SELECT *, CASE WHEN regexp_full_match(low, '[0-9][0-9.,:/]*(st|nd|rd|th|%)?') OR low IN ({_in(NUMBER_WORDS)}) THEN '<num>'
+    WHEN low IN ({_in(UNITS)}) THEN '<unit>' WHEN NOT starts AND regexp_full_match(core, '[A-Z][^A-Z]*') THEN '<name>' END AS kind FROM lowered
+), texts AS (
+  SELECT item, rid, id, list(coalesce(kind, low) ORDER BY i) AS t, list(CASE WHEN kind IS NULL THEN NULL ELSE core END ORDER BY i) AS s FROM kinds GROUP BY ALL
+), places AS (
+  SELECT item, id, n, unnest(range(1, len(t) - n + 2)) AS p, t, s FROM texts, range({MIN_TOKENS}, {WIDTH + 1}) r(n)
+  WHERE len(t) >= n AND (NOT item OR n = {WIDTH} OR len(t) = n)
+), cut AS (
+  SELECT item, id, n, p, array_to_string(t[p:p + n - 1], ' ') AS key, list_filter(s[p:p + n - 1], lambda x: x IS NOT NULL) AS slots FROM places
+), windows AS (SELECT * FROM cut WHERE n - len(slots) >= {MIN_LITERAL}),
+items AS (SELECT * FROM windows WHERE item),
+totals AS (SELECT id, count(*) AS item_windows FROM (SELECT DISTINCT id, p, n, key FROM items) GROUP BY id),
+met AS (
+  SELECT d.id AS doc_id, t.id AS item_id, d.p - t.p AS off, t.p AS ip, t.slots AS ts, d.slots AS ds FROM windows d JOIN items t USING (n, key) WHERE NOT d.item
+), pairs AS (SELECT DISTINCT doc_id, item_id, off, unnest(ts) AS a, unnest(ds) AS b FROM met),
+bad AS (SELECT doc_id, item_id, off FROM pairs GROUP BY ALL HAVING count(*) <> count(DISTINCT a) OR count(*) <> count(DISTINCT b)),
+changed AS (SELECT DISTINCT doc_id, item_id, off FROM pairs WHERE a <> b),
+covered AS (
+  SELECT m.doc_id, m.item_id, ip, max(CAST(c.off IS NULL AS INT)) AS same FROM (SELECT DISTINCT doc_id, item_id, off, ip FROM met) m
+  LEFT JOIN bad b ON m.doc_id IS NOT DISTINCT FROM b.doc_id AND m.item_id IS NOT DISTINCT FROM b.item_id AND m.off = b.off
+  LEFT JOIN changed c ON m.doc_id IS NOT DISTINCT FROM c.doc_id AND m.item_id IS NOT DISTINCT FROM c.item_id AND m.off = c.off
+  WHERE b.off IS NULL GROUP BY ALL
+), counted AS (SELECT doc_id, item_id, count(*) AS matched_windows, min(same) = 1 AS exact FROM covered GROUP BY ALL)
+SELECT doc_id, item_id, matched_windows, item_windows, matched_windows / item_windows AS coverage, exact
+FROM counted JOIN totals ON item_id IS NOT DISTINCT FROM id WHERE matched_windows / item_windows >= {MIN_COVERAGE}
+"""

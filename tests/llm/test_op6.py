@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import sys
 from collections import defaultdict
 from pathlib import Path
 
 import pytest
 from brinewave.llm import op6_decontaminate as op
 
+sys.path.insert(0, str(Path(__file__).parent))
+from oracle import duck  # noqa: E402
+
 ITEM = "Alice Weber bought 3 pounds of apples for 12 dollars. Yesterday Alice sold 3 pounds to Bob, so how many dollars did Alice spend on each of them?"
 
 
@@ -73,6 +77,8 @@ def test_reparameterised_questions(spark):
         rows = {(r.doc_id, r.item_id): r for r in op.leaks(a, b, max_broadcast=most).collect()}
         assert set(rows) == brute(docs, items) == {(1, 10), (2, 10), (6, 10), (None, 10)}
         assert rows[1, 10].exact and not rows[2, 10].exact
+        tables = {"documents": a.toPandas().astype({"doc_id": "Int64"}), "benchmark": b.toPandas()}
+        assert sorted(map(tuple, rows.values()), key=str) == sorted(duck(op.ORACLE_SQL, **tables), key=str)
     kept = op.drop_contaminated(a.withColumn("hash", a.text).withColumn("pos", a.text), b)
     assert kept.columns == ["doc_id", "text", "hash", "pos"] and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
     assert op.leaks(a.limit(0), b).count() == 0 and op.leaks(a, b.limit(0)).count() == 0
