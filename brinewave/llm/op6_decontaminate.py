@@ -220,19 +220,18 @@ WITH rows_in AS (
 ), kinds AS (
   SELECT *, CASE WHEN regexp_full_match(low, '[0-9][0-9.,:/]*(st|nd|rd|th|%)?') OR low IN ({_in(NUMBER_WORDS)}) THEN '<num>'
     WHEN low IN ({_in(UNITS)}) THEN '<unit>' WHEN NOT starts AND regexp_full_match(core, '[A-Z][^A-Z]*') THEN '<name>' END AS kind FROM lowered
-), texts AS (
-  SELECT item, rid, id, list(coalesce(kind, low) ORDER BY i) AS t, list(CASE WHEN kind IS NULL THEN NULL ELSE core END ORDER BY i) AS s FROM kinds GROUP BY ALL
-), places AS (
-  SELECT item, id, n, unnest(range(1, len(t) - n + 2)) AS p, t, s FROM texts, range({MIN_TOKENS}, {WIDTH + 1}) r(n)
-  WHERE len(t) >= n AND (NOT item OR n = {WIDTH} OR len(t) = n)
-), cut AS (
-  SELECT item, id, n, p, array_to_string(t[p:p + n - 1], ' ') AS key, list_filter(s[p:p + n - 1], lambda x: x IS NOT NULL) AS slots FROM places
-), windows AS (SELECT * FROM cut WHERE n - len(slots) >= {MIN_LITERAL}),
-items AS (SELECT * FROM windows WHERE item),
+), windows AS (
+  {" UNION ALL ".join(f"SELECT * FROM (SELECT item, rid, id, i AS p, {n} AS n, string_agg(coalesce(kind, low), ' ') OVER w AS key, count(*) OVER w AS got, count(*) FILTER (kind IS NULL) OVER w AS plain, count(*) OVER (PARTITION BY item, rid) AS whole FROM kinds WINDOW w AS (PARTITION BY item, rid ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE got = {n} AND plain >= {MIN_LITERAL}" + ("" if n == WIDTH else f" AND (NOT item OR whole = {n})") for n in range(MIN_TOKENS, WIDTH + 1))}
+), items AS (SELECT * FROM windows WHERE item),
 totals AS (SELECT id, count(*) AS item_windows FROM (SELECT DISTINCT id, p, n, key FROM items) GROUP BY id),
-met AS (
-  SELECT d.id AS doc_id, t.id AS item_id, d.p - t.p AS off, t.p AS ip, t.slots AS ts, d.slots AS ds FROM windows d JOIN items t USING (n, key) WHERE NOT d.item
-), pairs AS (SELECT DISTINCT doc_id, item_id, off, unnest(ts) AS a, unnest(ds) AS b FROM met),
+hits AS (
+  SELECT d.id AS doc_id, t.id AS item_id, d.rid AS drid, t.rid AS trid, d.p AS dp, t.p AS ip, d.p - t.p AS off, n FROM windows d JOIN items t USING (n, key) WHERE NOT d.item
+), met AS (SELECT doc_id, item_id, off, ip FROM hits),
+slots AS (SELECT item, rid, i, core FROM kinds WHERE kind IS NOT NULL),
+pairs AS (
+  SELECT DISTINCT doc_id, item_id, off, t.core AS a, d.core AS b FROM hits h JOIN slots t ON t.item AND t.rid = h.trid AND t.i >= h.ip AND t.i < h.ip + h.n
+  JOIN slots d ON NOT d.item AND d.rid = h.drid AND d.i = t.i + h.off
+),
 bad AS (SELECT doc_id, item_id, off FROM pairs GROUP BY ALL HAVING count(*) <> count(DISTINCT a) OR count(*) <> count(DISTINCT b)),
 changed AS (SELECT DISTINCT doc_id, item_id, off FROM pairs WHERE a <> b),
 covered AS (
