@@ -183,8 +183,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 ORACLE_SQL = rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
-windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(words[i:i + {WINDOW - 1}], ' ')) AS times
-  FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM split)),
+tokens AS (SELECT rid, generate_subscripts(words, 1) AS i, unnest(words) AS w FROM split),
+runs AS (SELECT rid, i, string_agg(w, ' ') OVER r AS run, count(*) OVER r AS n FROM tokens WINDOW r AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, run) AS times FROM runs WHERE n = {WINDOW}),
 repeated AS (SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest(range(i, i + {WINDOW})) AS place FROM windows WHERE times > 1) GROUP BY rid),
 measured AS (
   SELECT s.rid, doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
