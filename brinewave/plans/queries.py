@@ -183,6 +183,19 @@ def positional_rows(spark, d):
     return sig.ordinal_range(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", 5, 20)
 
 
+@query("SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 1 OFFSET 7")
+def record_at(spark, d):
+    """The eighth recording in order of its id."""
+    return sig.ordinal_range(read(spark, d, "embeddings").select("vec_id", "label"), "vec_id", 7, 8)
+
+
+@query(f"WITH {SIG} SELECT recording_id, round(max(abs(x)), 6) + 0.0 AS peak_ampl FROM sig GROUP BY 1 HAVING max(abs(x)) >= 0.35 ORDER BY recording_id LIMIT 5")
+def first_matching(spark, d):
+    """The first five recordings, by id, with a loud sample."""
+    found = signals(spark, d).select("recording_id", stats.peak().alias("peak")).filter("peak >= 0.35")
+    return found.orderBy("recording_id").limit(5).select("recording_id", r("peak").alias("peak_ampl"))
+
+
 @query("SELECT count(*) AS n_recordings FROM embeddings")
 def dataset_size(spark, d):
     return read(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n_recordings"))
@@ -287,6 +300,13 @@ def log_mel(spark, d):
     return spectrum_out(spectral.decibels(signals(spark, d), SMALL), "db")
 
 
+@query(_LOGMEL.format(ref="1e-12") + " SELECT recording_id, frame, round(db, 4) + 0.0 AS db FROM db WHERE bin = 0 AND recording_id < 20")
+def single_band(spark, d):
+    """The first band of the first recordings over time."""
+    found = spectral.decibels(signals(spark, d).filter("recording_id < 20"), SMALL).filter("bin = 0")
+    return found.select("recording_id", "frame", r("value", 4).alias("db"))
+
+
 @query(_LOGMEL.format(ref="1.0::DOUBLE") + " SELECT recording_id, frame, bin, round(greatest(db, max(db) OVER (PARTITION BY recording_id) - 20), 4) + 0.0 AS db FROM db")
 def mel_top_db(spark, d):
     """Mel power over no reference, clamped to 20 dB below its peak."""
@@ -432,6 +452,14 @@ def silhouette_euclidean(spark, d):
     return found.select("vec_id", r("silhouette").alias("silhouette"))
 
 
+@query("WITH unit AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)" + _SILHOUETTE.format(d="list_distance(a.v, b.v)").replace("SELECT i AS vec_id, round(coalesce((b - a) / greatest(a, b), 0), 6) + 0.0 AS silhouette FROM ab", "SELECT (SELECT count(DISTINCT label) FROM embeddings) AS n_clusters, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) + 0.0 AS silhouette FROM ab"))
+def cluster_metrics(spark, d):
+    """One row: the number of clusters and their mean silhouette."""
+    rows = vectors(spark, d)
+    mean = cluster.silhouette_euclidean(rows, "vec_id", "label").agg(r(F.avg("silhouette")).alias("silhouette"))
+    return rows.agg(F.countDistinct("label").alias("n_clusters")).join(mean)
+
+
 @query("WITH unit AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)" + _SILHOUETTE.format(d="1 - list_cosine_similarity(a.v, b.v)"))
 def silhouette_cosine(spark, d):
     found = cluster.silhouette_cosine(vectors(spark, d), "vec_id", "label")
