@@ -134,8 +134,10 @@ def inverted_lists(reps: DataFrame, k: int, percent: int = PERCENT) -> DataFrame
     common = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("v", "c")
     by_rep = entries.join(common, "v").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("found"))  # k at most
     kept = F.least("n", F.lit(k))
-    # a partner of a set this small is retained whole, too
-    shared = F.when(F.col("n") * 100 <= percent * k, F.ceil(F.col("n") * percent / F.lit(100.0))).otherwise(F.lit(shared_values(k, percent)))
+    least = F.ceil(F.col("n") * percent / F.lit(100.0))
+    # a partner of a set this small is retained whole, too; the union with one of
+    # a set that is just retained whole can have fewer than k values, or more
+    shared = F.when(F.col("n") * 100 <= percent * k, least).when(F.col("n") <= k, F.least(least, F.lit(shared_values(k, percent)))).otherwise(F.lit(shared_values(k, percent)))
     own = kept - F.size("found")
     cut = by_rep.join(reps.select("rep", "n"), "rep").withColumn("take", (kept - shared + 1 - own).cast("int")).filter("take > 0")
     placed = cut.select("rep", "n", F.posexplode(F.slice("found", F.lit(1), F.col("take"))).alias("at", "x"), (kept - own).alias("rest"))

@@ -69,6 +69,18 @@ def test_equals_all_pairs(spark):
     same(spark, rows)
 
 
+def test_large_groups_of_sets_just_retained_whole(spark):
+    """A text and many that add words of their own to it: 385 to 455 shingles."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for n in (385, 400, 420, 450):
+        core = fresh(345)
+        texts += [core] + [core + fresh(n - 341) for _ in range(90)]
+    rng.shuffle(texts)
+    same(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+
+
 def test_tables(spark):
     d = "/root/testdata/sf0.001"
     if not Path(d).exists():
