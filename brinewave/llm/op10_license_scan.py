@@ -2,8 +2,11 @@
 then inheritance from the nearest ancestor directory by path joins (JVM-side
 only).
 
-1. Passages: every line of the whole text with a licence cue; a file whose name
-   is a licence file's is one passage as a whole.
+1. Passages: every line of the whole text with a licence cue; of a file whose
+   name is a licence file's, the whole and each of its paragraphs, as a real
+   licence text is too long to be like a notice. A paragraph that gives another
+   version than the template's is not its, and as real texts begin with a
+   copyright, a paragraph's ``Proprietary`` counts only if there is no other.
 2. Terms are lower-case runs of letters and digits (dots inside kept). Document
    frequencies of the templates' terms are counted over all files; a term that
    no template has weighs as much as one in a single file. Vectors are tf * idf,
@@ -50,6 +53,7 @@ TEMPLATES = {
 CUE = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|creative commons|redistribution and use|permission is hereby granted|spdx"
 LICENCE_NAME = r"(?i)^(un)?licen[cs]e([-_.].*)?$|^copying([-_.].*)?$|^notice([-_.].*)?$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+VERSION = r"(?:\bversion|\bv\.?)\s*([0-9]+(?:\.[0-9]+)*)"
 MIN_COSINE = 0.6
 FILE_SHARE = 0.2
 
@@ -71,6 +75,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def version(text: Column, pattern: str) -> Column:
+    """The first version number ('' if none); 2.0 is 2."""
+    return F.regexp_replace(F.regexp_extract(F.lower(text), pattern, 1), r"\.0$", "")
+
+
 def directory(path: Column) -> Column:
     """The path up to its last slash ('' for the root); null for a null path."""
     return F.when(path.isNotNull(), F.regexp_replace(path, r"(^|/)[^/]*$", ""))
@@ -81,14 +90,15 @@ def passages(files: DataFrame) -> DataFrame:
     of the whole text) and lines, the passages."""
     named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_NAME)
     text = F.coalesce("text", F.lit(""))
-    lines = F.when(F.coalesce(named, F.lit(False)), F.array(text)).otherwise(F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE)))
+    lines = F.when(F.coalesce(named, F.lit(False)), F.array_distinct(F.concat(F.array(text), F.split(text, r"\r?\n[ \t]*\r?\n")))).otherwise(F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE)))
     return files.select(
         "id", "key", "path", F.coalesce(named, F.lit(False)).alias("named"), word_count(F.col("text")).alias("n_words"), F.array_intersect(F.lit(VOCABULARY), terms(text)).alias("df"), lines.alias("lines")
     )
 
 
 def matches(found: DataFrame, n_files: int, min_cosine: float) -> DataFrame:
-    """id, line, template, cosine, words: the best template of each passage."""
+    """id, line, template, cosine, words, late: the best template of each passage;
+    late ones count only if a file has no other."""
     spark = found.sparkSession
     counted = {r["t"]: r["c"] for r in found.select(F.explode("df").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).collect()}  # the vocabulary at most
     idf = {t: math.log((n_files + 1) / (counted.get(t, 0) + 1)) + 1 for t in VOCABULARY}
@@ -99,17 +109,22 @@ def matches(found: DataFrame, n_files: int, min_cosine: float) -> DataFrame:
     # a row for each term of a template: a constant of this module
     weights = F.broadcast(spark.createDataFrame([(n, k, t, c * idf[t] ** 2 / math.sqrt(norm[n, k])) for n, k, t, c in template_terms()], "template string, form int, term string, w double"))
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
-    lines = found.select("id", F.posexplode("lines").alias("line", "text")).select("id", "line", word_count(F.col("text")).alias("words"), F.posexplode(terms(F.col("text"))).alias("at", "term"))
-    counts = lines.groupBy("id", "line", "words", "term").agg(F.count(F.lit(1)).alias("tf"))
+    part = F.col("named") & (F.col("line") > 0)  # a paragraph of a licence file
+    said = F.when(part, version(F.col("text"), VERSION))
+    lines = found.select("id", "named", F.posexplode("lines").alias("line", "text")).select("id", "line", said.alias("said"), word_count(F.col("text")).alias("words"), F.posexplode(terms(F.col("text"))).alias("at", "term"))
+    counts = lines.groupBy("id", "line", "said", "words", "term").agg(F.count(F.lit(1)).alias("tf"))
     length = (
         counts.join(known, counts["term"] == known["word"], "left")
-        .groupBy("id", "line", "words")
+        .groupBy("id", "line", "said", "words")
         .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"))
     )
     dots = counts.join(weights, "term").groupBy("id", "line", "template", "form").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"))
     scored = dots.join(length, ["id", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
-    best = scored.filter(F.col("cosine") >= min_cosine).groupBy("id", "line", "words").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "template")).alias("b"))
-    return best.select("id", "line", "words", F.col("b.template").alias("template"), (-F.col("b.c")).alias("cosine"))
+    of = version(F.col("template"), r"-([0-9]+(?:\.[0-9]+)*)$")
+    fits = F.col("said").isNull() | (F.col("said") == "") | (of == "") | (F.col("said") == of)
+    best = scored.filter((F.col("cosine") >= min_cosine) & fits).groupBy("id", "line", "said", "words").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "template")).alias("b"))
+    late = F.col("said").isNotNull() & (F.col("b.template") == "Proprietary")
+    return best.select("id", "line", "words", F.col("b.template").alias("template"), (-F.col("b.c")).alias("cosine"), late.alias("late"))
 
 
 def ancestors(path: Column) -> Column:
@@ -132,7 +147,8 @@ def scan(files: DataFrame, key: str, path: str, text: str = "text", min_cosine:
     identity = F.concat(F.hex(F.xxhash64("key", "path", "text")), F.hex(F.xxhash64(F.lit(1), "key", "path", "text")))
     found = stash(passages(rows.withColumn("id", identity)), "op10-passages")
     hits = stash(matches(found, found.count(), min_cosine), "op10-matches")
-    own = hits.groupBy(F.col("id").alias("of")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "template")).alias("own"), F.sum("words").alias("licence_words"))
+    own = hits.groupBy(F.col("id").alias("of")).agg(F.min(F.struct("late", (-F.col("cosine")).alias("c"), "template")).alias("best"), F.sum("words").alias("licence_words"))
+    own = own.select("of", F.struct("best.c", "best.template").alias("own"), "licence_words")
     slim = found.select("id", "key", "path", "named", "n_words", directory(F.col("path")).alias("dir"))
     judged = stash(slim.join(own, slim["id"] == own["of"], "left").drop("of"), "op10-judged")
     is_file = F.col("own").isNotNull() & F.col("dir").isNotNull() & (F.col("named") | (F.col("licence_words") >= F.lit(file_share) * F.col("n_words")))
@@ -172,7 +188,8 @@ WITH forms(template, form, term, c) AS (VALUES {_values(template_terms())}),
 vocabulary AS (SELECT DISTINCT term FROM forms),
 files AS (
   SELECT doc_id, source || '/' || CAST(doc_id // {BLOCK} AS VARCHAR) AS dir, coalesce(text, '') AS text,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_words
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS n_words
   FROM documents
 ),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM files),
@@ -203,7 +220,8 @@ hits AS (
 ),
 own AS (
   SELECT doc_id, first(template ORDER BY cosine DESC, template) AS template, max(cosine) AS cosine,
-         sum(len(regexp_extract_all(text, '[^ 	-]+'))) AS words
+         sum(len(regexp_extract_all(text, '[^ 	-
+]+'))) AS words
   FROM hits JOIN passages USING (doc_id, line) GROUP BY doc_id
 ),
 holders AS (

@@ -71,6 +71,35 @@ def test_root_licence(spark):
     assert sorted(map(tuple, op.scan(files, "k", "p").collect()), key=str) == sorted(brute(rows), key=str)
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def test_real_licence_texts(spark):
+    """A directory with a real text is licensed, and of no wrong version."""
+    d = Path("/usr/share/common-licenses")
+    want = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "LGPL-2.1": None, "Artistic": None}
+    texts = {"MIT": (MIT_TEXT, "MIT")} | {k: ((d / k).read_text(), v) for k, v in want.items() if (d / k).exists()}
+    rows = [(f"{k}/LICENSE", t) for k, (t, _) in texts.items()] + [(f"{k}/src/a.py", "x = 1") for k in texts] + [(f"other/{i}.py", f"the words of a file {i} in this form") for i in range(500)]
+    files = spark.createDataFrame(rows, "p string, text string")
+    found = {r.p: (r.license, r.license_from) for r in op.scan(files, "p", "p").collect()}
+    for k, (_, name) in texts.items():
+        assert found[f"{k}/LICENSE"] == (name, name and "own"), k
+        assert found[f"{k}/src/a.py"] == (name, name and "inherited"), k
+
+
 def test_no_python_in_the_plan(spark, docs):
     plan = op.scan(docs, "doc_id", "source")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
