@@ -487,7 +487,7 @@ def agglomerative(spark, d):
 def tsne(spark, d):
     """On 50 principal components of standardised unit vectors."""
     out, _, _ = cluster.pca(cluster.standardize(cluster.normalize(vectors(spark, d), 2)), 50)
-    return cluster.tsne(out.select("vec_id", F.col("pcs").alias("features")), "vec_id", iterations=300)
+    return cluster.tsne(out.select("vec_id", F.col("pcs").alias("features")), "vec_id", iterations=2000)
 
 
 # ------------------------------------------------------------------ plot data
@@ -517,7 +517,7 @@ def feature_map(spark, d):
 def cluster_scatter(spark, d):
     """Vectors and centroids on two principal components."""
     base = cluster.normalize(vectors(spark, d), 1)
-    assigned, centers, _ = cluster.kmeans(base, k=8, restarts=2)
+    assigned, centers, _ = cluster.kmeans(base, k=8, restarts=10)
     out, extra, _ = cluster.pca(assigned, 2, extra=centers)
     points = out.select(F.col("pcs")[0].alias("pc1"), F.col("pcs")[1].alias("pc2"), "cluster")
     marks = spark.createDataFrame([(float(x), float(y), k) for k, (x, y) in enumerate(extra)], "pc1 double, pc2 double, cluster int")

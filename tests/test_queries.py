@@ -30,6 +30,28 @@ def test_query_runs(spark, name):
     assert plans.QUERIES[name](spark, str(TABLES)).count() > 0
 
 
+def test_iterations_and_restarts_of_the_reference(spark, monkeypatch):
+    seen = {}
+
+    class Done(Exception):
+        pass
+
+    def note(df, *args, **options):
+        seen.update(options)
+        raise Done
+
+    monkeypatch.setattr(plans, "vectors", lambda spark, d: spark.range(1))
+    for name in ("normalize", "standardize"):
+        monkeypatch.setattr(plans.cluster, name, lambda df, *args: df)
+    monkeypatch.setattr(plans.cluster, "pca", lambda df, *args: (df.select("id").toDF("pcs").withColumn("vec_id", plans.F.lit(1)), None, None))
+    for name in ("tsne", "kmeans"):
+        monkeypatch.setattr(plans.cluster, name, note)
+    for name in ("tsne", "cluster_scatter"):
+        with pytest.raises(Done):
+            plans.QUERIES[name](spark, "")
+    assert seen["iterations"] == 2000 and seen["restarts"] == 10
+
+
 def test_entry_without_the_llm_part():
     """The entry module imports without that folder, and this package never needs it."""
     root = Path(__file__).resolve().parents[1]
