@@ -14,7 +14,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large-star and small-star steps until the edges are stars whose
     centre is the smallest node. Each step is a min-aggregate, combined before
     the shuffle, and a join of the edges with one row per node, so neither
-    neighbours nor components are gathered anywhere.
+    neighbours nor components are gathered anywhere. The number of rounds grows
+    with the logarithm of the nodes (at most its square), so the loop ends.
     """
     steps = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("w")).filter("u <> w").distinct()
     now = None

@@ -11,15 +11,18 @@
    values with t shared, one is among the s - t + 1 rarest of either. Values
    that one class alone retains use up places and make no list, so common lines
    and passages generate nothing for documents that have enough of their own.
-   Members of long lists are sketched again with ``LONG_K`` values, which bounds
-   the share more tightly (and exactly for most texts); the lists of those
-   sketches take the place of the long ones.
+   Members of long lists are sketched again with eight times the values, as
+   often as a long list has a member that isn't retained whole (``LEVELS``);
+   that bounds the share more and more tightly, and in the end exactly. The
+   lists of the longer sketches take the place of the long ones.
 4. Lists are worked off in rounds of hubs: a list's members are compared with
    its first member, then its next 7, 56, ...; pairs that are in one component
    by then are left out, as are those whose places in the list leave too few
-   values to share, and a list that lies within one component is finished. A group of thousands of copies is so linked through a few hubs
-   and is never expanded into its pairs; no pair of different components that
-   shares a list is left untested.
+   values for two sets of their sizes to share, and a list that lies within one
+   component is finished. A group of thousands of copies is so linked through a
+   few hubs and is never expanded into its pairs, and variants that are too far
+   from all others hold too many values of their own to fit any partner; no pair
+   of different components that shares a list is left untested.
 5. A candidate pair is estimated on the K smallest values of the union of the
    two sketches, and what passes is confirmed on the full sets.
 
@@ -32,7 +35,7 @@ all of them; empty tables give an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +49,13 @@ from .components import components
 SHINGLE = 5
 PERCENT = 75
 K = 64
-#: Members of lists longer than LONG are sketched again with so many values.
-LONG, LONG_K = 64, 512
+#: Values of the sketches; members of lists longer than LONG go on to the next.
+LEVELS = (K, 512, 4096, 32768)
+LONG = 64
+#: The one level of the exact mode: every set is retained whole.
+WHOLE = 2**31 - 1
+#: Deviations below the mean that a share is still expected: a chance of 2e-5.
+DEVIATIONS = 4.25
 #: Each round has so many times the hubs of all before it.
 WIDEN = 7
 #: Ids up to this number are broadcast (16 MB); more are joined by a shuffle.
@@ -117,9 +125,20 @@ def semi(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -
 
 def shared_values(k: int, percent: int = PERCENT) -> int:
     """Of the k values of a union's sketch, how many a pair at the threshold
-    shares: 4.25 deviations below the mean, a chance of 2e-5 to have fewer."""
+    shares, but for a chance of 2e-5."""
     p = percent / 100
-    return int(k * p - 4.25 * (k * p * (1 - p)) ** 0.5)
+    return int(k * p - DEVIATIONS * (k * p * (1 - p)) ** 0.5)
+
+
+def shared_by_size(k: Column, n_a: Column, n_b: Column, percent: int = PERCENT) -> Column:
+    """How many of the k values of one sketch the other retains as well, but for
+    a chance of 2e-5, if the sets are similar enough and not both whole. Of the
+    two sketches, that which ends at the lower value is a sample of its set, of
+    which the share p at least is in the other set; of sets of one size that is
+    more than of sets whose sizes are far apart."""
+    s = percent / 100
+    p = F.least(F.lit(s / (1 + s)) * (1 + F.least(n_a, n_b) / F.greatest(n_a, n_b)), F.lit(1.0))
+    return F.floor(k * p - DEVIATIONS * F.sqrt(k * p * (1 - p)))
 
 
 def inverted_lists(reps: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
@@ -150,13 +169,13 @@ def with_sizes(lists: DataFrame) -> DataFrame:
     return lists.join(sizes, "v")
 
 
-def could_share(k: int, left: Column, n_a: Column, n_b: Column, percent: int = PERCENT) -> Column:
+def could_share(k: Column, left: Column, n_a: Column, n_b: Column, percent: int = PERCENT) -> Column:
     """Whether sets with at most ``left`` values in common can be similar. At the
     rarest value that a pair shares, left is a bound; at others it may be too
     low, which loses nothing, as the pair is met there as well."""
     fit = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
     whole = (n_a <= k) & (n_b <= k)
-    return fit & F.when(whole, left * 100 >= percent * (n_a + n_b - left)).otherwise(left >= shared_values(k, percent))
+    return fit & F.when(whole, left * 100 >= percent * (n_a + n_b - left)).otherwise(left >= shared_by_size(k, n_a, n_b, percent))
 
 
 def links(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -176,29 +195,51 @@ def links(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, k: int = K, perc
     return near.join(full("a", "ia"), "a").join(full("b", "ib"), "b").filter(common * 100 >= percent * (F.col("n_a") + F.col("n_b") - common)).select(*pairs.columns)
 
 
-def representative_components(docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame:
+def all_lists(reps: DataFrame, sets: Callable[[DataFrame], DataFrame], levels: tuple[int, ...]) -> DataFrame:
+    """k, v, rep, n, left, size: the lists of every level that are worked off.
+
+    sets gives the whole shingle sets of representatives that have a list.
+    """
+    kept, now, whole = [], reps, None
+    for k, longer in zip(levels, (*levels[1:], None), strict=True):
+        lists = stash(with_sizes(stash(inverted_lists(now, k), "op7-listed")).withColumn("k", F.lit(k)), "op7-short")
+        whole = sets(lists) if whole is None else whole
+        crowded = lists.filter(F.col("size") > LONG)
+        if longer is None or not crowded.filter(F.col("n") > k).limit(1).count():
+            kept.append(lists)  # no longer sketch says more
+            break
+        kept.append(lists.filter(F.col("size") <= LONG))
+        members = crowded.select(F.col("rep").alias("of")).distinct()
+        now = stash(whole.join(members, "of", "left_semi").dropDuplicates(["of"]).select(F.col("of").alias("rep"), F.size("items").cast("long").alias("n"), F.slice("items", 1, longer).alias("sketch")), "op7-longer")
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def representative_components(docs: DataFrame, reps: DataFrame, key: str, text: str, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """node, component for the classes that are linked to another."""
-    spark = docs.sparkSession
-    short = stash(with_sizes(stash(inverted_lists(reps, K), "op7-listed")), "op7-short")
-    listed = short.select(F.col("rep").alias("of")).distinct()
-    sketch = stash(reps.join(listed, reps["rep"] == listed["of"], "left_semi"), "op7-sketches")
-    members = sketch.select(F.col("rep").alias("of"), "s1", "s2")
-    sets = stash(full_sets(docs, members, key, text), "op7-sets")
-    crowded = short.filter(F.col("size") > LONG).select(F.col("rep").alias("of")).distinct()
-    again = sets.join(crowded, "of", "left_semi").dropDuplicates(["of"]).select(F.col("of").alias("rep"), F.size("items").cast("long").alias("n"), F.slice("items", 1, LONG_K).alias("sketch"))
-    long = with_sizes(stash(inverted_lists(again, LONG_K), "op7-listed-again"))
-    both = short.filter(F.col("size") <= LONG).withColumn("k", F.lit(K)).unionByName(long.withColumn("k", F.lit(LONG_K)))
+    spark, held = docs.sparkSession, {}
+
+    def sets_of(lists: DataFrame) -> DataFrame:
+        listed = lists.select(F.col("rep").alias("of")).distinct()
+        held["sketch"] = stash(reps.join(listed, reps["rep"] == listed["of"], "left_semi"), "op7-sketches")
+        members = held["sketch"].select(F.col("rep").alias("of"), "s1", "s2")
+        held["sets"] = stash(full_sets(docs, members, key, text), "op7-sets")
+        return held["sets"]
+
+    both = all_lists(reps, sets_of, levels)
+    sketch, sets = held["sketch"], held["sets"]
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("k", "v").orderBy("rep")))
     named, left, _ = stash_counted(ranked.withColumn("label", F.col("rep")), "op7-lists")
     merges: list[DataFrame] = []  # of each round: label, and the label of the component that it is now in
     low, high = 1, 2
     while left:
         hubs = named.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("k", "v", F.col("rep").alias("a"), F.col("rank").alias("at"), F.col("label").alias("la"), F.col("n").alias("n_hub"), F.col("left").alias("left_hub"))
-        bound = F.least("left", "left_hub")
-        fits = F.when(F.col("k") == K, could_share(K, bound, F.col("n"), F.col("n_hub"))).otherwise(could_share(LONG_K, bound, F.col("n"), F.col("n_hub")))
+        fits = could_share(F.col("k"), F.least("left", "left_hub"), F.col("n"), F.col("n_hub"))
         met = named.join(hubs, ["k", "v"]).filter((F.col("rank") > F.col("at")) & (F.col("la") != F.col("label")) & fits)
         pairs = met.select("a", F.col("rep").alias("b"), "la", F.col("label").alias("lb")).distinct()
-        found, n, _ = stash_counted(links(pairs, sketch, sets), "op7-links")
+        found, n, _ = stash_counted(links(pairs, sketch, sets, levels[0]), "op7-links")
         rows = named.filter(F.col("size") > high)
         if n:
             # only labels are merged: what is one component by now is one node
@@ -210,7 +251,7 @@ def representative_components(docs: DataFrame, reps: DataFrame, key: str, text:
         named, left, _ = stash_counted(rows.join(spread, ["k", "v"], "left_semi"), "op7-lists")
         discard(old, found)
         low, high = high, high + WIDEN * (high - 1)
-    discard(named, sets, sketch, short)
+    discard(named, sets, sketch)
     labels = spark.createDataFrame([], "node long, component long")
     for merge in merges:
         step = merge.select(F.col("node").alias("was"), F.col("component").alias("now"))
@@ -219,16 +260,21 @@ def representative_components(docs: DataFrame, reps: DataFrame, key: str, text:
     return labels
 
 
-def label_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id, kept: a row per input row."""
-    found = stash(sketches(docs, key, text), "op7-sketched")
+def label_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
+    """key, n_shingles, component_id, kept: a row per input row.
+
+    exact: lists of whole sets instead of sketches, so that no pair is missed
+    by chance, for the price of a shuffle of all shingles.
+    """
+    levels = (WHOLE,) if exact else LEVELS
+    found = stash(sketches(docs, key, text, levels[0]), "op7-sketched")
     classes = stash(found.filter("n > 0 and key is not null").groupBy("s1", "s2").agg(F.min("key").alias("rep")), "op7-classes")
     firsts = classes.groupBy(F.col("rep").alias("key")).agg(F.max(F.struct("s1", "s2")).alias("x")).select("key", "x.s1", "x.s2")
     first_rows = found.join(firsts, ["key", "s1", "s2"], "left_semi")
     if found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 and key is not null").limit(1).count():
         first_rows = first_rows.dropDuplicates(["key"])
     reps = stash(first_rows.select(F.col("key").alias("rep"), "n", "s1", "s2", "sketch"), "op7-reps")
-    linked = representative_components(docs, reps, key, text)
+    linked = representative_components(docs, reps, key, text, levels)
     discard(reps)
     named = stash(
         classes.join(linked, classes["rep"] == linked["node"], "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep").alias("class_component")), "op7-named-classes"

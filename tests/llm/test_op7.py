@@ -35,9 +35,9 @@ def brute(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def same(spark, rows):
+def same(spark, rows, exact=False):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in op.label_documents(frame).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in op.label_documents(frame, exact=exact).collect()}
     expect = brute(rows)
     assert found == expect
     kept = {r.doc_id for r in op.drop_near_duplicates(frame).collect()}
@@ -81,6 +81,20 @@ def test_large_groups_of_sets_just_retained_whole(spark):
     same(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_many_variants_on_both_sides_of_the_threshold(spark, exact, monkeypatch):
+    """Hundreds of variants of a text of more shingles than the second sketch
+    holds, many of them too far from each other: pairs asked stay few."""
+    rng = random.Random(13)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(700)]
+    texts = [" ".join(edited(rng, base, rng.randrange(70))) for _ in range(300)]
+    asked = []
+    links = op.links
+    monkeypatch.setattr(op, "links", lambda pairs, *a: asked.append(pairs.count()) or links(pairs, *a))
+    same(spark, list(enumerate(texts)), exact)
+    assert sum(asked) < 2 * 30 * 300  # twice, as same() labels twice; all pairs would be 2 * 44,850
+
+
 def test_tables(spark):
     d = "/root/testdata/sf0.001"
     if not Path(d).exists():
