@@ -8,20 +8,27 @@ hashed and joined to the windows of the benchmark's items; for each occurrence
 placeholders, have to be consistent: the pairs (value of the item, value of
 the document) form a one-to-one mapping, equal ones included. So a question
 with other numbers or names is found, and one whose values cannot be a renaming
-is not. An item whose windows are found to the share ``MIN_COVERAGE`` has
-leaked into the document.
+is not. An item has leaked into a document if the share ``MIN_COVERAGE`` of its
+windows is found there, or ``MIN_WINDOWS`` of them (25 words on end).
+
+A window with fewer than ``MIN_LITERAL`` plain words says too little as a
+template and is compared word for word instead; the coverage is that of all
+windows or that of the templates alone, whichever is higher. The first word of an item
+counts as a name as well as a plain word, as what precedes it is unknown.
 
 The benchmark's window hashes are given to the scan of the documents, where
-they drop nearly all windows at once, if they are at most
-``MAX_BROADCAST_WINDOWS``; a larger benchmark is joined by a shuffle of all
-windows. The result is the same.
+they drop nearly all windows at once: the hashes themselves if they are at most
+``MAX_BROADCAST_WINDOWS``, else a bit map of fixed size (32 MB). The join that
+follows makes the result the same.
 
 Defined results: null or empty texts and items have no windows; an item of
 fewer than ``WIDTH`` but at least ``MIN_TOKENS`` tokens is one window of its
-own width, shorter ones are not searched; windows with fewer than
-``MIN_LITERAL`` plain words are not used; repeated rows of the benchmark count
-once, items that share an id are searched together; a null document id gives
-a row with a null id; empty tables give an empty result.
+own width, shorter ones are not searched; repeated rows of either table count
+once; rows that share an id (or have none) and differ in text are documents,
+or items, of their own, and of items that share an id the best covered one is
+given; of any length, whole texts are searched; a null document id gives a row
+with a null id; other columns are never read, so their names cannot clash;
+empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,16 +39,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, table, text_bytes, window_hashes
+from .common import _ODD, mix, small_batches, stash, table, text_bytes, window_hashes
 
 WIDTH = 8
 MIN_TOKENS = 5
 MIN_LITERAL = 4
-MIN_COVERAGE = 0.5
+MIN_COVERAGE, MIN_WINDOWS = 0.5, 18
 MAX_BROADCAST_WINDOWS = 4_000_000
+#: Bits of the map that stands in for more hashes than that.
+MAP_BITS = 28
 MAX_BROADCAST_IDS = 2_000_000
 CACHE = 300_000
 PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -84,24 +93,52 @@ class Tokens(dict):
 
 
 _PLACEHOLDER = np.array([0, 0x1111111111111110, 0x2222222222222220, 0x3333333333333330], np.uint64)
+_LITERAL = np.uint64(0x5555555555555555)
+
 
+def canonical(values: np.ndarray, starts: np.ndarray, named_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Template tokens and their kinds (0: plain) of texts laid end to end.
 
-def canonical(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Template tokens and their kinds (0: plain) of texts laid end to end."""
+    named_first: capitalised first words of texts are names, too."""
     flags = (values & _LOW).astype(np.int64)
     kind = flags & 3
     after = np.ones(len(values), bool)  # follows the end of a sentence
     after[1:] = (flags[:-1] & _ENDS) > 0
-    after[starts[starts < len(values)]] = True
+    after[starts[starts < len(values)]] = not named_first
     kind[(flags & _CAPITAL > 0) & ~after] = _NAME
     return np.where(kind > 0, _PLACEHOLDER[kind], values & ~_LOW), kind
 
 
-def windows(texts: list[bytes | None], tokens: Tokens, widths: tuple[int, ...], own_width: bool = False, wanted: np.ndarray | None = None):
-    """(row, position, hash, slots, windows of the row) of each usable window.
+class Wanted:
+    """The window hashes to look for: all of them, or a bit map that lets some
+    others through."""
+
+    def __init__(self, hashes: np.ndarray | None = None, words: np.ndarray | None = None) -> None:
+        self.hashes = hashes  # sorted
+        if hashes is not None:
+            self.shift = np.uint64(64 - max(16, int(len(hashes)).bit_length() + 6))
+            self.map = np.zeros(1 << int(64 - self.shift), bool)
+            self.map[(hashes >> self.shift).astype(np.int64)] = True
+        else:
+            self.shift, self.words = np.uint64(64 - MAP_BITS), words
+
+    def among(self, found: np.ndarray) -> np.ndarray:
+        """Positions of ``found`` that can be wanted."""
+        top = found >> self.shift
+        if self.hashes is None:
+            return np.flatnonzero(self.words[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63)) & np.uint64(1))
+        at = np.flatnonzero(self.map[top.astype(np.int64)])
+        if not len(self.hashes):
+            return at[:0]
+        return at[self.hashes[np.searchsorted(self.hashes, found[at]).clip(max=len(self.hashes) - 1)] == found[at]]
+
 
-    own_width: a text shorter than the last width is one window (for items).
-    wanted: sorted hashes; other windows are left out.
+def windows(texts: list[bytes | None], tokens: Tokens, widths: tuple[int, ...], item: bool = False, wanted: Wanted | None = None):
+    """(row, position, hash, slots) of each window, of those in ``wanted`` if given;
+    slots are None for windows that are compared word for word.
+
+    item: a text shorter than the last width is one window, and the windows at
+    its start are given a second time if its first word can be a name.
     """
     split = [t.split() if t else [] for t in texts]
     lengths = np.array([len(w) for w in split], np.int64)
@@ -109,93 +146,118 @@ def windows(texts: list[bytes | None], tokens: Tokens, widths: tuple[int, ...],
     ends = np.cumsum(lengths)
     starts = ends - lengths
     values = np.fromiter(map(tokens.__getitem__, words), np.uint64, len(words))
-    token, kind = canonical(values, starts)
-    plain = np.concatenate(([0], np.cumsum(kind == 0)))
     owner = np.repeat(np.arange(len(texts)), lengths)
-    if wanted is not None and len(wanted):
-        bits = max(16, int(len(wanted)).bit_length() + 6)
-        shift = np.uint64(64 - bits)
-        lut = np.zeros(1 << bits, bool)
-        lut[(wanted >> shift).astype(np.int64)] = True
+    literal = values & ~_LOW
     out = []
-    for width in widths:
-        if len(token) < width:
-            continue
-        hashes = window_hashes(token, width) ^ np.uint64(width)
-        if wanted is None:
-            at = np.arange(len(hashes))
-        elif len(wanted):
-            at = np.flatnonzero(lut[(hashes >> shift).astype(np.int64)])
-            at = at[wanted[np.searchsorted(wanted, hashes[at]).clip(max=len(wanted) - 1)] == hashes[at]]
-        else:
-            at = np.empty(0, np.int64)
-        at = at[(at + width <= ends[owner[at]]) & (plain[at + width] - plain[at] >= MIN_LITERAL)]
-        if own_width and width < WIDTH:
-            at = at[lengths[owner[at]] == width]
-        for i in at.tolist():
-            slots = [words[j].strip(PUNCT).decode("utf-8", "replace") for j in range(i, i + width) if kind[j]]
-            out.append((int(owner[i]), i - int(starts[owner[i]]), int(hashes[i].view(np.int64)), slots))
+    for named_first in (False, True)[: 1 + item]:
+        token, kind = canonical(values, starts, named_first)
+        plain = np.concatenate(([0], np.cumsum(kind == 0)))
+        for width in widths:
+            if len(token) < width:
+                continue
+            hashes = window_hashes(token, width)
+            poor = np.flatnonzero(plain[width:] - plain[:-width] < MIN_LITERAL)
+            if len(poor):
+                hashes[poor] = mix(sum(literal[poor + j] * _ODD[j] for j in range(width))) ^ _LITERAL
+            hashes ^= np.uint64(width)
+            at = np.arange(len(hashes)) if wanted is None else wanted.among(hashes)
+            at = at[at + width <= ends[owner[at]]]
+            if item and width < WIDTH:
+                at = at[lengths[owner[at]] == width]
+            if named_first:
+                at = at[(at == starts[owner[at]]) & (values[at] & np.uint64(_CAPITAL) > 0)]
+            few = np.isin(at, poor)
+            for i, bare in zip(at.tolist(), few.tolist(), strict=True):
+                slots = None if bare else [words[j].strip(PUNCT).decode("utf-8", "replace") for j in range(i, i + width) if kind[j]]
+                out.append((int(owner[i]), i - int(starts[owner[i]]), int(hashes[i].view(np.int64)), slots))
     return out
 
 
-_SCHEMA = "doc_key long, pos int, hash long, slots array<string>"
+_SCHEMA = "doc_key long, doc_row long, pos int, hash long, slots array<string>"
+
 
+def row_of(text: str) -> Column:
+    """Tells rows that share an id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-def template_windows(rows: DataFrame, key: str, text: str, widths: tuple[int, ...], own_width: bool = False, wanted=None) -> DataFrame:
-    """doc_key, pos, hash, slots. wanted: a broadcast of sorted hashes, or None."""
+
+def template_windows(rows: DataFrame, key: str, text: str, widths: tuple[int, ...], item: bool = False, wanted=None) -> DataFrame:
+    """doc_key, doc_row, pos, hash, slots. wanted: a broadcast, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         only = None if wanted is None else wanted.value
         for batch in small_batches(batches, "text", 4 << 20):
-            keys = batch.column(0).to_pylist()
-            found = windows(text_bytes(batch.column(1)), tokens, widths, own_width, only)
+            found = windows(text_bytes(batch.column(2)), tokens, widths, item, only)
+            rows = pa.array([r for r, *_ in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[r] for r, *_ in found], pa.int64()), pa.array([p for _, p, *_ in found], pa.int32()), pa.array([h for *_, h, _ in found], pa.int64()), pa.array([s for *_, s in found], pa.list_(pa.string()))],
-                names=["doc_key", "pos", "hash", "slots"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([p for _, p, *_ in found], pa.int32()), pa.array([h for *_, h, _ in found], pa.int64()), pa.array([s for *_, s in found], pa.list_(pa.string()))],
+                names=["doc_key", "doc_row", "pos", "hash", "slots"],
             )
 
-    return rows.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, _SCHEMA)
+    return rows.select(F.col(key).cast("long").alias("key"), row_of(text).alias("row"), F.col(text).alias("text")).mapInArrow(run, _SCHEMA)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", min_coverage: float = MIN_COVERAGE, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """key, item, matched_windows, item_windows, coverage, exact: a row per
-    document and item that has leaked into it."""
-    spark = docs.sparkSession
+def wanted_hashes(hashes: DataFrame, max_broadcast: int) -> Wanted:
+    """What the scan looks for; the driver holds at most ``max_broadcast`` hashes,
+    or the words of the bit map."""
+    if hashes.limit(max_broadcast + 1).count() <= max_broadcast:
+        return Wanted(np.sort(hashes.toPandas()["hash"].to_numpy(np.int64).view(np.uint64)))
+    at = F.shiftrightunsigned("hash", 64 - MAP_BITS)
+    words = hashes.groupBy(F.shiftrightunsigned(at, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(hash, {64 - MAP_BITS}) & 63 as int)))").alias("bits")).toPandas()
+    out = np.zeros(1 << MAP_BITS - 6, np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return Wanted(words=out)
+
+
+def found_leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, min_coverage: float, min_windows: int, max_broadcast: int) -> DataFrame:
+    """doc_key, doc_row, item_key and the best covered of the items of that id."""
     all_widths = (*range(MIN_TOKENS, WIDTH), WIDTH)
     items = stash(
-        template_windows(benchmark.select(item, item_text).distinct(), item, item_text, all_widths, own_width=True).select(F.col("doc_key").alias("item_key"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), F.size("slots").alias("n_slots")),
+        template_windows(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("words")).distinct(), "item", "words", all_widths, item=True)
+        .select(F.col("doc_key").alias("item_key"), F.col("doc_row").alias("item_row"), F.col("pos").alias("item_pos"), "hash", F.col("slots").isNotNull().alias("rich"), F.coalesce("slots", F.array()).alias("item_slots")),
         "op6-items",
     )
-    totals = items.select("item_key", "item_pos", "hash").distinct().groupBy(F.col("item_key").alias("of")).agg(F.count(F.lit(1)).alias("item_windows"))
-    hashes = items.select("hash").distinct()
-    wanted = None
-    if hashes.limit(max_broadcast + 1).count() <= max_broadcast:
-        wanted = spark.sparkContext.broadcast(np.sort(hashes.toPandas()["hash"].to_numpy(np.int64).view(np.uint64)))
+    places = items.groupBy(F.col("item_key").alias("of"), F.col("item_row").alias("of_row"), "item_pos").agg(F.max("rich").alias("rich"))
+    totals = places.groupBy("of", "of_row").agg(F.count(F.lit(1)).alias("item_windows"), F.count_if("rich").alias("item_templates"))
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted_hashes(items.select("hash").distinct(), max_broadcast))
+    # rows that repeat meet again in the groups below, where they count once
     found = template_windows(docs, key, text, all_widths, wanted=wanted)
-    pair = ["doc_key", "item_key"]
-    met = found.join(items, "hash").filter(F.size("slots") == F.col("n_slots"))
-    offset = met.withColumn("offset", F.col("pos") - F.col("item_pos")).withColumn("pairs", F.arrays_zip("item_slots", "slots"))
-    # an occurrence has at most as many windows as its item
-    occurrence = offset.groupBy(*pair, "offset").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    pair = ["doc_key", "doc_row", "item_key", "item_row"]
+    met = found.withColumn("slots", F.coalesce("slots", F.array())).join(items, "hash").filter(F.size("slots") == F.size("item_slots"))
+    offset = met.withColumn("offset", F.col("pos") - F.col("item_pos")).select(*pair, "offset", F.struct("item_pos", "rich").alias("at"), F.arrays_zip("item_slots", "slots").alias("pairs")).distinct()
+    # an occurrence has at most twice as many windows as its item
+    occurrence = offset.groupBy(*pair, "offset").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
     one_to_one = (values("item_slots") == F.size("pairs")) & (values("slots") == F.size("pairs"))
     same = F.forall("pairs", lambda p: p["item_slots"] == p["slots"])
-    consistent = occurrence.filter(one_to_one).select(*pair, F.explode("at").alias("item_pos"), same.alias("same"))
-    covered = consistent.groupBy(*pair, "item_pos").agg(F.max("same").alias("same"))
-    counted = covered.groupBy(*pair).agg(F.count(F.lit(1)).alias("matched_windows"), F.min("same").alias("exact"))
-    out = counted.join(totals, counted["item_key"].eqNullSafe(totals["of"])).withColumn("coverage", F.col("matched_windows") / F.col("item_windows"))
-    return out.filter(F.col("coverage") >= min_coverage).select(
-        F.col("doc_key").alias(key), F.col("item_key").alias(item), "matched_windows", "item_windows", "coverage", "exact"
-    )
+    consistent = occurrence.filter(one_to_one).select(*pair, F.explode("at").alias("at"), same.alias("same"))
+    covered = consistent.groupBy(*pair, "at.item_pos").agg(F.max("same").alias("same"), F.max("at.rich").alias("rich"))
+    counted = covered.groupBy(*pair).agg(F.count(F.lit(1)).alias("matched_windows"), F.count_if("rich").alias("matched_templates"), F.min("same").alias("exact"))
+    both = counted.join(totals, counted["item_key"].eqNullSafe(totals["of"]) & (counted["item_row"] == totals["of_row"]))
+    both = both.withColumn("coverage", F.greatest(F.col("matched_windows") / F.col("item_windows"), F.try_divide("matched_templates", "item_templates")))
+    enough = both.filter((F.col("coverage") >= min_coverage) | (F.col("matched_windows") >= min_windows))
+    return enough.groupBy("doc_key", "doc_row", "item_key").agg(F.max(F.struct("coverage", "matched_windows", "item_windows", "exact")).alias("best"))
+
+
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+    min_coverage: float = MIN_COVERAGE, min_windows: int = MIN_WINDOWS, max_broadcast: int = MAX_BROADCAST_WINDOWS,
+) -> DataFrame:
+    """key, item, matched_windows, item_windows, coverage, exact: a row per
+    document (id and text) and item that has leaked into it."""
+    found = found_leaks(docs, benchmark, key, text, item, item_text, min_coverage, min_windows, max_broadcast)
+    return found.select(F.col("doc_key").alias(key), F.col("item_key").alias(item), "best.matched_windows", "best.item_windows", "best.coverage", "best.exact")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` into which no item has leaked, all columns unchanged."""
-    bad = stash(leaks(docs, benchmark, key, text, **how).select(F.col(key).cast(docs.schema[key].dataType).alias("__op6_key")).distinct(), "op6-bad")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", min_coverage: float = MIN_COVERAGE, min_windows: int = MIN_WINDOWS, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` into which no item has leaked, all columns unchanged;
+    a clean row stays even if its id is that of a row that goes."""
+    found = found_leaks(docs, benchmark, key, text, item, item_text, min_coverage, min_windows, max_broadcast)
+    bad = stash(found.select(F.col("doc_key").cast(docs.schema[key].dataType).alias("__op6_key"), F.col("doc_row").alias("__op6_row")).distinct(), "op6-bad")
     if bad.count() <= MAX_BROADCAST_IDS:
         bad = F.broadcast(bad)
-    return docs.join(bad, docs[key].eqNullSafe(bad["__op6_key"]), "left_anti").select(*docs.columns)
+    return docs.join(bad, docs[key].eqNullSafe(bad["__op6_key"]) & (row_of(text) == bad["__op6_row"]), "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -209,7 +271,7 @@ def _in(words: frozenset[bytes]) -> str:
 #: The same in DuckDB's dialect, with the templates themselves instead of hashes.
 ORACLE_SQL = rf"""
 WITH rows_in AS (
-  SELECT row_number() OVER () AS rid, false AS item, doc_id AS id, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER () AS rid, false AS item, doc_id AS id, text FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)
   UNION ALL SELECT row_number() OVER (), true, item_id, text FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)
 ), words AS (
   SELECT item, rid, id, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM rows_in)
@@ -217,29 +279,36 @@ WITH rows_in AS (
   SELECT *, regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') AS core, regexp_matches(w, '[.!?:]$') AS ends FROM words
 ), lowered AS (
   SELECT *, translate(core, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, coalesce(lag(ends) OVER (PARTITION BY item, rid ORDER BY i), true) AS starts FROM cores
-), kinds AS (
+), typed AS (
   SELECT *, CASE WHEN regexp_full_match(low, '[0-9][0-9.,:/]*(st|nd|rd|th|%)?') OR low IN ({_in(NUMBER_WORDS)}) THEN '<num>'
-    WHEN low IN ({_in(UNITS)}) THEN '<unit>' WHEN NOT starts AND regexp_full_match(core, '[A-Z][^A-Z]*') THEN '<name>' END AS kind FROM lowered
+    WHEN low IN ({_in(UNITS)}) THEN '<unit>' WHEN regexp_full_match(core, '[A-Z][^A-Z]*') THEN '<name>' END AS kind FROM lowered
+), kinds AS (
+  SELECT item, rid, id, 0 AS form, i, core, low, CASE WHEN kind = '<name>' AND starts THEN NULL ELSE kind END AS kind FROM typed
+  UNION ALL SELECT item, rid, id, 1, i, core, low, CASE WHEN kind = '<name>' AND starts AND i > 1 THEN NULL ELSE kind END FROM typed
+  WHERE item AND rid IN (SELECT rid FROM typed WHERE item AND i = 1 AND kind = '<name>')
 ), windows AS (
-  {" UNION ALL ".join(f"SELECT * FROM (SELECT item, rid, id, i AS p, {n} AS n, string_agg(coalesce(kind, low), ' ') OVER w AS key, count(*) OVER w AS got, count(*) FILTER (kind IS NULL) OVER w AS plain, count(*) OVER (PARTITION BY item, rid) AS whole FROM kinds WINDOW w AS (PARTITION BY item, rid ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE got = {n} AND plain >= {MIN_LITERAL}" + ("" if n == WIDTH else f" AND (NOT item OR whole = {n})") for n in range(MIN_TOKENS, WIDTH + 1))}
+  {" UNION ALL ".join(f"SELECT item, rid, id, form, p, n, plain < {MIN_LITERAL} AS bare, CASE WHEN plain < {MIN_LITERAL} THEN exact ELSE key END AS key FROM (SELECT item, rid, id, form, i AS p, {n} AS n, string_agg(coalesce(kind, low), ' ') OVER w AS key, string_agg(low, ' ') OVER w AS exact, count(*) OVER w AS got, count(*) FILTER (kind IS NULL) OVER w AS plain, count(*) OVER (PARTITION BY item, rid, form) AS whole FROM kinds WINDOW w AS (PARTITION BY item, rid, form ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE got = {n} AND (form = 0 OR p = 1)" + ("" if n == WIDTH else f" AND (NOT item OR whole = {n})") for n in range(MIN_TOKENS, WIDTH + 1))}
 ), items AS (SELECT * FROM windows WHERE item),
-totals AS (SELECT id, count(*) AS item_windows FROM (SELECT DISTINCT id, p, n, key FROM items) GROUP BY id),
+totals AS (SELECT rid AS trid, count(DISTINCT p) AS item_windows, count(DISTINCT p) FILTER (NOT bare) AS item_templates FROM items GROUP BY rid),
 hits AS (
-  SELECT d.id AS doc_id, t.id AS item_id, d.rid AS drid, t.rid AS trid, d.p AS dp, t.p AS ip, d.p - t.p AS off, n FROM windows d JOIN items t USING (n, key) WHERE NOT d.item
-), met AS (SELECT doc_id, item_id, off, ip FROM hits),
-slots AS (SELECT item, rid, i, core FROM kinds WHERE kind IS NOT NULL),
+  SELECT d.id AS doc_id, t.id AS item_id, d.rid AS drid, t.rid AS trid, t.form, t.p AS ip, d.p - t.p AS off, n, bare FROM windows d JOIN items t USING (n, key, bare) WHERE NOT d.item
+),
+slots AS (SELECT item, rid, form, i, core FROM kinds WHERE kind IS NOT NULL),
 pairs AS (
-  SELECT DISTINCT doc_id, item_id, off, t.core AS a, d.core AS b FROM hits h JOIN slots t ON t.item AND t.rid = h.trid AND t.i >= h.ip AND t.i < h.ip + h.n
-  JOIN slots d ON NOT d.item AND d.rid = h.drid AND d.i = t.i + h.off
+  SELECT DISTINCT drid, h.trid, off, t.core AS a, d.core AS b FROM hits h JOIN slots t ON t.item AND t.rid = h.trid AND t.form = h.form AND t.i >= h.ip AND t.i < h.ip + h.n
+  JOIN slots d ON NOT d.item AND d.rid = h.drid AND d.i = t.i + h.off WHERE NOT bare
 ),
-bad AS (SELECT doc_id, item_id, off FROM pairs GROUP BY ALL HAVING count(*) <> count(DISTINCT a) OR count(*) <> count(DISTINCT b)),
-changed AS (SELECT DISTINCT doc_id, item_id, off FROM pairs WHERE a <> b),
+bad AS (SELECT drid, trid, off FROM pairs GROUP BY ALL HAVING count(*) <> count(DISTINCT a) OR count(*) <> count(DISTINCT b)),
+changed AS (SELECT DISTINCT drid, trid, off FROM pairs WHERE a <> b),
 covered AS (
-  SELECT m.doc_id, m.item_id, ip, max(CAST(c.off IS NULL AS INT)) AS same FROM (SELECT DISTINCT doc_id, item_id, off, ip FROM met) m
-  LEFT JOIN bad b ON m.doc_id IS NOT DISTINCT FROM b.doc_id AND m.item_id IS NOT DISTINCT FROM b.item_id AND m.off = b.off
-  LEFT JOIN changed c ON m.doc_id IS NOT DISTINCT FROM c.doc_id AND m.item_id IS NOT DISTINCT FROM c.item_id AND m.off = c.off
-  WHERE b.off IS NULL GROUP BY ALL
-), counted AS (SELECT doc_id, item_id, count(*) AS matched_windows, min(same) = 1 AS exact FROM covered GROUP BY ALL)
-SELECT doc_id, item_id, matched_windows, item_windows, matched_windows / item_windows AS coverage, exact
-FROM counted JOIN totals ON item_id IS NOT DISTINCT FROM id WHERE matched_windows / item_windows >= {MIN_COVERAGE}
+  SELECT m.drid, m.trid, ip, max(CAST(c.off IS NULL AS INT)) AS same, max(CAST(NOT bare AS INT)) AS rich FROM (SELECT DISTINCT drid, trid, off, ip, bare FROM hits) m
+  LEFT JOIN bad b USING (drid, trid, off) LEFT JOIN changed c USING (drid, trid, off) WHERE b.off IS NULL GROUP BY ALL
+), counted AS (SELECT drid, trid, count(*) AS matched_windows, sum(rich) AS matched_templates, min(same) = 1 AS exact FROM covered GROUP BY ALL),
+enough AS (
+  SELECT d.id AS doc_id, drid, t.id AS item_id, matched_windows, item_windows, greatest(matched_windows / item_windows, matched_templates / nullif(item_templates, 0)) AS coverage, exact
+  FROM counted JOIN totals USING (trid) JOIN rows_in d ON NOT d.item AND d.rid = drid JOIN rows_in t ON t.item AND t.rid = trid
+  WHERE coverage >= {MIN_COVERAGE} OR matched_windows >= {MIN_WINDOWS}
+)
+SELECT doc_id, item_id, matched_windows, item_windows, coverage, exact FROM enough
+QUALIFY row_number() OVER (PARTITION BY drid, item_id ORDER BY coverage DESC, matched_windows DESC, item_windows DESC, exact DESC) = 1
 """

@@ -32,7 +32,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert {r.host_rate > op1_quality_rules.MAX_HOST_RATE for r in op1_quality_rules.judge(docs).collect()} == {False}
     groups = test_op7.brute([(i, r.text) for i, r in left.items()])
     left = {i: r for i, r in left.items() if groups[i][1] == i}
-    leaked = {a for a, _ in test_op6.brute([(i, r.text) for i, r in left.items()], items)}
+    leaked = {a for (a, _), _ in test_op6.brute([(i, r.text) for i, r in left.items()], items)}
     left = {i: r for i, r in left.items() if i not in leaked}
     out = corpus_pipeline.run(spark, d)
     assert out.columns == [*docs.columns, "copy"]
