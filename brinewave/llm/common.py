@@ -92,6 +92,12 @@ def discard(*frames: DataFrame) -> None:
 # ------------------------------------------------------------------ columns
 
 
+def other_columns(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but for those with one of ``names``, in any case."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def word_count(text: Column) -> Column:
     """Words of the whole text (null: 0), JVM-side.
 
