@@ -5,13 +5,16 @@
    shuffle, so a host with a third of all rows costs one row per map task.
 3. An empirical Beta(a, b) prior is fitted to the hosts' rates by the method
    of moments, and each host's rate is shrunk to (fails + a) / (n + a + b).
-4. The verdict of the host (shrunk rate at most ``max_host_rate``) is joined
-   back to its documents.
+4. A host is rejected when its shrunk rate lies in the upper tail of the fitted
+   prior, ``TAIL`` deviations above its mean; hosts that fail at most at
+   ``MIN_HOST_RATE`` are never rejected and those above ``MAX_HOST_RATE``
+   always are. The verdict is joined back to the host's documents.
 
 Defined results: null text has no words and fails the base rule; a null host
 is one host of its own; empty tables give an empty result; repeated rows are
-judged one by one; extra input columns are kept by :func:`apply_rules` and
-working columns carry a prefix so that they never clash with them.
+judged one by one; a very long text is measured whole; a rate at the very
+bound is kept; extra input columns are kept by :func:`apply_rules` and working
+columns carry a prefix so that they never clash with them.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +32,10 @@ from .common import small_batches, stash, table, text_bytes, window_hashes, word
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-#: A host is rejected when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.5
+#: A host is rejected when its shrunk failure rate is so many deviations above
+#: the prior's mean; between hosts that are much alike that would be little, so
+#: the bound is kept within these rates.
+TAIL, MIN_HOST_RATE, MAX_HOST_RATE = 2.0, 0.25, 0.5
 #: More rejected hosts than this are joined by a shuffle instead of a broadcast.
 MAX_BROADCAST_HOSTS = 100_000
 SYMBOLS = b"#*$%&|<>"
@@ -121,7 +127,13 @@ def host_verdicts(judged: DataFrame, host: str, failed: str, max_host_rate: floa
     row = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("host_docs")).alias("inv")).first()
     a, b = beta_prior(row["m"], row["v"], row["inv"])
     shrunk = (F.col("host_fails") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_kept", F.col("host_rate") <= max_host_rate)
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_kept", F.col("host_rate") <= rate_bound(a, b, max_host_rate))
+
+
+def rate_bound(a: float, b: float, max_host_rate: float = MAX_HOST_RATE) -> float:
+    """The highest shrunk rate at which a host is kept, given the prior."""
+    mean = a / (a + b)
+    return min(max(mean + TAIL * (mean * (1 - mean) / (a + b + 1)) ** 0.5, MIN_HOST_RATE), max_host_rate)
 
 
 def beta_prior(mean: float | None, var: float | None, inverse_size: float | None) -> tuple[float, float]:
@@ -150,26 +162,30 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
 def apply_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that pass, all columns unchanged.
 
-    The texts are not carried through the shuffle: rejected hosts are few
-    columns, and the base rule is evaluated again where the rows are read.
+    Texts are parsed once and not shuffled: the rows are written with their base
+    verdict (without the text where it fails), hosts are counted from the two
+    narrow columns, and the rejected ones are left out as the rows are read back.
     """
     p = "__op1_"
-    slim = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    measured = stash(with_measures(slim).select("host", base_failed().alias("base_failed")), "op1-fails")
-    bad = host_verdicts(measured, "host", "base_failed", max_host_rate).filter(~F.col("host_kept")).select(F.col("host").alias(p + "host"))
-    names, schema = docs.columns, docs.schema
+    names, schema = docs.columns, docs.select(*[F.col(c) for c in docs.columns]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text):
-            found = measure(text_bytes(batch.column(batch.schema.get_field_index(text))))
+            at = batch.schema.get_field_index(text)
+            found = measure(text_bytes(batch.column(at)))
             n = found["n_words"]
-            keep = (n >= MIN_WORDS) & (100 * found["n_repeat_words"] <= MAX_REPEAT_PERCENT * n)
-            yield batch.filter(pa.array(keep))
-
-    good = docs.select(*names).mapInArrow(run, schema)
+            failed = pa.array((n < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * n))
+            columns = list(batch.columns)
+            columns[at] = pc.if_else(failed, pa.scalar(None, columns[at].type), columns[at])
+            yield pa.RecordBatch.from_arrays([*columns, failed], names=[*names, p + "failed"])
+
+    schema[text].nullable = True
+    measured = stash(docs.select(*names).mapInArrow(run, schema.add(p + "failed", "boolean")), "op1-measured")
+    bad = host_verdicts(measured, host, p + "failed", max_host_rate).filter(~F.col("host_kept")).select(F.col("host").alias(p + "host"))
+    good = measured.filter(~F.col(p + "failed"))
     n_bad = bad.count()
     if not n_bad:
-        return good
+        return good.select(*names)
     if n_bad <= MAX_BROADCAST_HOSTS:
         bad = F.broadcast(bad)
     return good.join(bad, good[host].eqNullSafe(bad[p + "host"]), "left_anti").select(*names)
@@ -195,7 +211,9 @@ judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT
 hosts AS (SELECT source, count(*) AS host_docs, CAST(sum(CAST(base_failed AS INT)) AS BIGINT) AS host_fails FROM judged GROUP BY source),
 moments AS (SELECT greatest(least(avg(host_fails / host_docs), 0.999::DOUBLE), 0.001::DOUBLE) AS m, var_pop(host_fails / host_docs) AS v, avg(1 / host_docs) AS inv FROM hosts),
 prior AS (SELECT m, CASE WHEN v - m * (1 - m) * inv > 0 THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 2), 10000) WHEN v > 0 THEN 10000 ELSE 2 END AS strength FROM moments),
-verdicts AS (SELECT source, host_docs, host_fails, (host_fails + m * strength) / (host_docs + strength) AS host_rate FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= {MAX_HOST_RATE} AS kept, host_docs, host_fails, round(host_rate, 9) AS host_rate
+verdicts AS (
+  SELECT source, host_docs, host_fails, (host_fails + m * strength) / (host_docs + strength) AS host_rate,
+    least(greatest(m + {TAIL} * sqrt(m * (1 - m) / (strength + 1)), {MIN_HOST_RATE}), {MAX_HOST_RATE}) AS bound FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= bound AS kept, host_docs, host_fails, round(host_rate, 9) AS host_rate
 FROM judged j JOIN verdicts h ON j.source IS NOT DISTINCT FROM h.source
 """

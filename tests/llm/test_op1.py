@@ -51,6 +51,21 @@ def test_bad_host_is_rejected_and_clean_ones_stay(spark):
     assert kept == {i for i, t, h in rows if t == good and h != "bad"}
 
 
+def test_host_is_judged_by_the_prior(spark):
+    """Hosts with low rates, and one with a high one, that is still below the
+    highest bound: the prior's tail tells it. Many small hosts with one failure
+    of three are shrunk to the rest and stay."""
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, good if i % 50 else "x", f"h{i % 20}") for i in range(4000)] + [(10_000 + i, "x" if i % 3 == 0 else good, "odd") for i in range(300)]
+    rows += [(20_000 + 3 * i + k, good if k else "x", f"small{i}") for i in range(3) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    judged = {r.doc_id: r for r in op.judge(docs).collect()}
+    assert op.MIN_HOST_RATE < judged[10_000].host_rate < op.MAX_HOST_RATE
+    assert {i for i, r in judged.items() if r.kept} == {i for i, t, h in rows if t == good and h != "odd"} == {r.doc_id for r in op.apply_rules(docs).collect()}
+    table = docs.toPandas()
+    assert sorted(map(tuple, judged.values())) == sorted(duck(op.ORACLE_SQL, documents=table))
+
+
 def test_extra_columns_and_empty(spark, docs):
     wide = docs.withColumn("host", docs.source).withColumn("kept", docs.doc_id).withColumn("n_words", docs.doc_id)
     assert op.apply_rules(wide).columns == wide.columns
