@@ -31,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, notebooks) a temporary folder is
-    made and set as the checkpoint folder.
+    Only where a local session has none (tests, notebooks) a temporary folder is
+    made and set as the checkpoint folder; executors elsewhere could not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="brinewave-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

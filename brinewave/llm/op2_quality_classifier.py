@@ -13,7 +13,9 @@ the features of those rows are computed by the executors.
 Defined results: a null or empty text has no features and gets the score of
 the bias alone; without labelled rows every score is 0.5; repeated rows are
 scored one by one; rows without a usable label (null, not 0 or 1) are not
-learned from.
+learned from; a very long text is scored whole, in time that grows with its
+words; a score of just 0.5 predicts 1; an empty table gives an empty result;
+input columns named like an output column give way to it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, bucket_of, labelled_sample, mix, small_batches, table, text_bytes
+from .common import _ODD, bucket_of, labelled_sample, mix, other_columns, small_batches, table, text_bytes
 
 BITS = 19
 #: Labelled rows that the model is fitted on, about.
@@ -114,12 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", key:
         for batch in small_batches(batches, "text"):
             found = [sparse(t, tokens, bits) for t in text_bytes(batch.column(3))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())],
-                names=["h", "key", "label", "at", "x"],
+                [batch.column(0), batch.column(2), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())],
+                names=["h", "label", "at", "x"],
             )
 
-    sent = picked.mapInArrow(run, "h long, key long, label int, at binary, x binary")
-    rows = sorted(sent.toLocalIterator(), key=lambda r: (r["h"], r["key"], r["label"], bytes(r["at"])))
+    sent = picked.mapInArrow(run, "h long, label int, at binary, x binary")
+    rows = sorted(sent.toLocalIterator(), key=lambda r: (r["h"], r["label"], bytes(r["at"]), bytes(r["x"])))
     return ftrl([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(float), r["label"]) for r in rows], bits)
 
 
@@ -134,8 +136,9 @@ def score_texts(texts: list[bytes | None], model: Model, tokens: Tokens) -> np.n
 
 
 def with_quality(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
-    """The rows of ``docs`` with the text replaced by score and prediction."""
-    rest = [c for c in docs.columns if c != text]
+    """The rows of ``docs`` with the text replaced by score and prediction, which
+    take the place of columns of their names."""
+    rest = other_columns(docs, text, score, predicted)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 << BITS weights, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,8 +17,8 @@ The result has a row for each input turn and each inserted one; the pieces of a
 conversation, in order of ``piece_no``, are its rendered text.
 
 Defined results: a null or unknown role costs a relabelling; a null text is
-empty; a null conversation id is one conversation; turns are ordered by number
-(nulls first), repeated numbers by a hash of role and text, and equal rows are
+empty; a null conversation id is one conversation; ids and numbers can be of any
+type that sorts and reads back from its text; turns are ordered by number (nulls first), repeated numbers by a hash of role and text, and equal rows are
 interchangeable; the delimiters are broken up where a text contains them; an
 empty table gives an empty result. Of repairs that cost the same the first by
 (state before, merge before new turn) is taken, from the conversation's end.
@@ -216,9 +216,8 @@ OUT = "conv string, turn_text string, piece_no long, out_turn long, role string,
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     spark = turns.sparkSession
     # ids travel as text, as a nullable integer of pandas would be a float
-    name = F.coalesce(F.col(conv).cast("long").cast("string"), F.lit("")).alias("conv")
-    number = F.col(turn).cast("long")
-    rows = turns.select(name, number.alias("turn"), number.cast("string").alias("turn_text"), F.col(role).alias("role"), F.col(text).alias("text"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit("")).alias("conv")
+    rows = turns.select(name, F.col(turn).alias("turn"), F.col(turn).cast("string").alias("turn_text"), F.col(role).alias("role"), F.col(text).alias("text"))
     order = ["conv", "turn", "h", "nth"]
     ranged = rows.withColumn("h", F.xxhash64("role", "text")).withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(*order)
     placed = stash(ranged.withColumn("part", F.spark_partition_id()), "op4-placed")
@@ -253,8 +252,8 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
             yield _frame(out)
 
     done = dealt.sortWithinPartitions("conv", "part", "turn", "h", "nth").mapInPandas(repairs, OUT)
-    key = F.when(F.col("conv") != "", F.col("conv").cast("long"))
-    return done.select(key.alias(conv), F.col("turn_text").cast("long").alias("turn"), "piece_no", "out_turn", "role", "action", "piece")
+    key = F.when(F.col("conv") != "", F.substring("conv", 2, 1 << 30).cast(turns.schema[conv].dataType))
+    return done.select(key.alias(conv), F.col("turn_text").cast(turns.schema[turn].dataType).alias("turn"), "piece_no", "out_turn", "role", "action", "piece")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

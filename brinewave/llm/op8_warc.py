@@ -5,7 +5,7 @@ a seek table in a skippable frame (the public seekable format: magic
 0x184D2A5E, an entry of compressed and decompressed size for each frame, and a
 footer of the number of frames, a descriptor and 0x8F92EAB1). Each task writes
 bundles of its own under unique names and returns an index row for each record:
-bundle, frame, offset within the frame, length. The index is a table that Spark
+its WARC-Record-ID, bundle, frame, offset within the frame, length. The index is a table that Spark
 commits, so a bundle of a failed or repeated task is in no index and is never
 read.
 
@@ -20,7 +20,9 @@ folder that executors share; the input is read by Spark.
 
 Defined results: a null html is an empty payload, and empty payloads are equal
 to each other; a null id is written without an id and never refers or is
-referred to; rows that repeat the largest id with its payload are each a
+referred to, and is found by its record identifier; other columns of the pages
+are not read, so their names cannot clash; a very long payload is a frame of its
+own; rows that repeat the largest id with its payload are each a
 response; an empty table gives no bundle and an empty result.
 """
 
@@ -69,14 +71,14 @@ def clean(uri: str | None) -> str:
     return " ".join((uri or "").split()) or "urn:none"
 
 
-def record(page: int | None, uri: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(identifier: str, page: int | None, uri: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC/1.1 record. A revisit has the HTTP header alone as its block."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page)}",
+        f"WARC-Record-ID: {identifier}",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {clean(uri)}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
@@ -156,19 +158,23 @@ class Reader:
 def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html (binary), refers_to (null: response).
 
-    Digests and lengths are taken by the JVM from narrow rows; only payloads
-    that occur twice make a row to join, one each, so the bodies of a site
-    without copies meet an empty table.
+    Digests and lengths are taken by the JVM from narrow rows, and only rows of
+    ids and digests meet on a payload's digest. What the bodies are joined to has
+    a row for each revisit, by its own id, so no body goes where its copies go.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", body.alias("html"), F.sha1(body).alias("sha"), F.octet_length(body).alias("len"))
-    narrow = pages.select("page_id", F.sha1(body).alias("of"), F.octet_length(body).alias("size")).filter((F.col("size") >= min_bytes) & F.col("page_id").isNotNull())
-    copied = stash(narrow.groupBy("of", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "op8-copies")
-    joined = rows.join(copied, (rows["sha"] == copied["of"]) & (rows["len"] == copied["size"]), "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("first"), F.col("first")).alias("refers_to"))
+    narrow = pages.select("page_id", F.sha1(body).alias("sha"), F.octet_length(body).alias("len")).filter((F.col("len") >= min_bytes) & F.col("page_id").isNotNull())
+    narrow = stash(narrow, "op8-digests")
+    copied = narrow.groupBy("sha", "len").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    revisits = stash(narrow.join(copied, ["sha", "len"]).filter("page_id < first").select(F.col("page_id").alias("of"), F.col("sha").alias("same"), "first").distinct(), "op8-revisits")
+    rows = pages.select("page_id", "url", body.alias("html"))
+    if not revisits.limit(1).count():
+        return rows.withColumn("refers_to", F.lit(None).cast("long"))
+    met = (rows["page_id"] == revisits["of"]) & (F.sha1(rows["html"]) == revisits["same"])
+    return rows.join(revisits, met, "left").select("page_id", "url", "html", F.col("first").alias("refers_to"))
 
 
-INDEX = "page_id long, bundle string, frame int, offset long, length long"
+INDEX = "record_id string, page_id long, bundle string, frame int, offset long, length long"
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -177,7 +183,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, frame_byte
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle: Bundle | None = None
         records: list[bytes] = []
-        ids: list[int | None] = []
+        ids: list[tuple[str, int | None]] = []
         size = 0
 
         def frame() -> pa.RecordBatch:
@@ -185,8 +191,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, frame_byte
             k = bundle.add(records)
             lengths = np.array([len(r) for r in records])
             out = pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([bundle.uri] * len(ids)), pa.array([k] * len(ids), pa.int32()), pa.array(np.cumsum(lengths) - lengths, pa.int64()), pa.array(lengths, pa.int64())],
-                names=["page_id", "bundle", "frame", "offset", "length"],
+                [pa.array([r for r, _ in ids], pa.string()), pa.array([p for _, p in ids], pa.int64()), pa.array([bundle.uri] * len(ids)), pa.array([k] * len(ids), pa.int32()), pa.array(np.cumsum(lengths) - lengths, pa.int64()), pa.array(lengths, pa.int64())],
+                names=["record_id", "page_id", "bundle", "frame", "offset", "length"],
             )
             records.clear()
             ids.clear()
@@ -196,8 +202,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, frame_byte
         for batch in small_batches(batches, "html"):
             for page, url, html, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 bundle = bundle or Bundle(folder)
-                records.append(record(page, url, html, refers))
-                ids.append(page)
+                identifier = record_id(page)
+                records.append(record(identifier, page, url, html, refers))
+                ids.append((identifier, page))
                 size += len(records[-1])
                 if size >= frame_bytes:
                     yield frame()

@@ -48,12 +48,33 @@ def test_score_is_a_sparse_dot_product():
     assert n == 3 and sum(Counter(index.tolist()).values()) == 9 + 6 + 1
 
 
+def test_features_equal_a_plain_count():
+    """Cores, affixes and shapes of the words, one by one and in twos, and doubled words."""
+    text = "Hello, hello hello (World) 3rd -- x2! Éa".encode()
+    words = text.split()
+    tokens = op.Tokens()
+    index, n = op.features(text, tokens, 19)
+    assert n == len(words) == 8
+    kinds = [tokens[w] for w in words]
+    assert len({k[0] for k in kinds}) == 6  # hello is one core
+    pairs = {(x, y) for k in range(3) for x, y in zip([t[k] for t in kinds], [t[k] for t in kinds][1:], strict=False)}
+    doubled = sum(a[0] == b[0] for a, b in zip(kinds, kinds[1:], strict=False))
+    assert len(index) == 3 * 8 + 3 * 7 + doubled and doubled == 2
+    assert len(set(index.tolist())) == len({x for k in kinds for x in k}) + len(pairs) + 1
+
+
 def test_edges(spark, docs):
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, None, 0), (5, 0, 1), (5, 1, 1), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     wide = docs.withColumn("label", docs.lang).withColumn("of", docs.lang).withColumn("h", docs.lang)
     model = op.fit(wide, labels, lambda k: k.isNotNull())
     rows = op.with_quality(docs.select("doc_id", "text"), model).collect()
     assert len(rows) == 8 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+    clash = docs.withColumn("Score", docs.text).withColumn("predicted", docs.lang).withColumn("held_out", docs.doc_id)
+    assert op.with_quality(clash, model).columns == ["doc_id", "lang", "source", "n_chars", "held_out", "score", "predicted"]
+    assert sorted(r.score for r in op.with_quality(clash, model).collect()) == sorted(r.score for r in rows)
+    texts = lambda f: f.withColumn("doc_id", f.doc_id.cast("string"))
+    named = op.fit(texts(wide), texts(labels), lambda k: k.isNotNull())
+    assert {r.doc_id for r in op.with_quality(texts(clash), named).collect()} == {"0", "1", "2", "3", "4", "5", None}
     none = op.fit(docs, labels.limit(0), lambda k: k.isNotNull())
     assert {r.score for r in op.with_quality(docs.select("doc_id", "text"), none).collect()} == {0.5}
     assert op.with_quality(docs.limit(0).select("doc_id", "text"), none).count() == 0

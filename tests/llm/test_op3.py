@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 import re
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 from brinewave.llm import op3_mixing as op
@@ -27,15 +27,34 @@ def reshare(sizes, weights, total, most):
     return out
 
 
-def test_fill_equals_resharing():
+def test_targets_equal_resharing(spark):
     rng = random.Random(5)
-    for _ in range(300):
-        n = rng.randrange(1, 9)
+    for k in range(8):
+        n = rng.randrange(1, 9) if k else 400
         sizes = [rng.choice([0, 1, 7, 100, 5000]) for _ in range(n)]
         weights = [(5.0, 2.0, 1.0)[i % 3] for i in range(n)]
-        for total in (1.5 * sum(sizes), 2.5 * sum(sizes)):
-            for a, b in zip(op.fill(sizes, weights, total, 2.0), reshare(sizes, weights, total, 2.0), strict=True):
-                assert abs(a - b) <= 1e-9 * max(1, b)
+        names = sorted(f"{rng.randrange(10**6)}é" for _ in range(n - 1)) + [None]
+        frame = spark.createDataFrame([(s, x) for s, m in zip(names, sizes, strict=True) for x in (m // 2, m - m // 2)], "source string, size long")
+        for share in (1.5, 2.5):
+            found = {r.of: (r.source_size, r.target) for r in op.source_targets(frame, share=share).collect()}
+            for s, m, t in zip(names, sizes, reshare(sizes, weights, share * sum(sizes), 2.0), strict=True):
+                assert found[s][0] == m and abs(found[s][1] - t) <= 1e-9 * max(1, t)
+
+
+def test_rows_that_share_an_id(spark):
+    """Equal ids with other texts, null ids, and equal rows: as many copies as decided."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 1, 2, i]), f"t{rng.randrange(40)} " * rng.choice([3, 3, 8, 20]), rng.choice(["a", "b", None]), i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long")
+    decided = Counter()
+    for r in op.copies(op.sized(docs)).collect():
+        decided[r.key, r.source, r["size"]] += r.copies
+    out = op.sample_mix(docs)
+    assert out.columns == [*docs.columns, "copy"]
+    taken = Counter((r.doc_id, r.source, len(r.text.split())) for r in out.collect())
+    assert taken == +decided
+    times, whole = Counter(rows), Counter(tuple(r)[:4] for r in out.collect())
+    assert set(whole) <= set(times) and all(n <= 2 * times[r] for r, n in whole.items())
 
 
 def test_mix_edges_and_oracle(spark, docs):

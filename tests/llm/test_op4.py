@@ -96,3 +96,7 @@ def test_frames(spark):
             assert [r[1] for r in out] == list(range(len(out)))
         assert sum(r[4] != "insert" for r in out) == len(by[c])
     assert op.format_chats(frame.limit(0)).count() == 0
+    text = frame.filter("conv_id is null or conv_id > 1").selectExpr("case when conv_id = 2 then '' else 'c-' || conv_id end as conv_id", "lpad(turn, 3, '0') as turn", "role", "text")
+    named = op.format_chats(text).collect()
+    assert sorted(tuple(r)[3:] for r in named) == sorted(tuple(r)[3:] for r in op.format_chats(frame.filter("conv_id is null or conv_id > 1")).collect())
+    assert {r.conv_id for r in named} == {None, "", *(f"c-{c}" for c in found if c is not None and c > 2)}

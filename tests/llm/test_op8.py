@@ -37,6 +37,11 @@ def test_round_trip(spark):
         assert sorted(bytes(r.payload) for r in rows if r.record_type == "response" and r.page_id == 5) == [("é" * 60_000).encode()]
         one = op.read_archives(index.filter("page_id = 9"), payload=True).collect()
         assert [bytes(r.payload) for r in one] == [b"\r\n\r\nWARC/1.1\r\n"]
+        # every record, of null ids as well, is found by its identifier
+        ids = [r.record_id for r in index.collect()]
+        assert len(set(ids)) == 8 and op.record_id(9) in ids  # one id is there twice
+        nameless = index.filter("page_id is null")
+        assert sorted(op.read_archives(index.filter(index.record_id.isin([r.record_id for r in nameless.collect()]))).collect()) == sorted(op.read_archives(nameless).collect())
     empty = op.write_archives(pages.limit(0), new_folder(spark, "test"))
     assert empty.count() == 0 and op.read_archives(empty).count() == 0
 
