@@ -1,19 +1,30 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling,
-trained in numpy, that scores all overlapping windows of a text.
-
-A word's input is its log-odds of toxicity (shrunk, counted on the training
-sample), the highest log-odds of its runs of five characters, a small embedding
-of its hash, and the mean embedding of its character trigrams. Windows are ``WINDOW`` words, one every ``STRIDE``; the text's score
-is its highest window's. Training takes, for every document, the window that
-now scores highest (and a random one of clean documents), as the labels are of
-whole texts.
+trained in numpy, that scores the overlapping windows of a text.
+
+A word's input is an embedding of its hash, the mean embedding of its character
+trigrams, its log-odds of toxicity (shrunk, counted on the training sample) and
+the highest log-odds of its runs of five characters. Windows are ``WINDOW``
+words, one every ``STRIDE``, over the whole text; the text's score is its
+highest window's.
+
+Training reads whole texts on the executors, twice: they count words and runs,
+and then hand in ``PICKED`` windows of each text from anywhere in it, those with
+the highest log-odds and a few at random, so that the driver holds a bounded
+number of windows however long the texts are. In each epoch a document is
+learned from the window of these that now scores highest (and a clean one from
+a random one as well), as the labels are of whole texts. Words have their
+embeddings hidden at times and their log-odds at others, so that neither is
+relied on alone.
 
 Log-odds are cross-fitted: a half of the sample sees those of the other half,
 so that a word of one document tells nothing about that document's label.
 
 Defined results: null and empty texts have one empty window; without labelled
 rows of both classes every score is the share of toxic ones (0 if none);
-repeated rows are scored one by one; unusable labels are not learned from.
+repeated rows are scored one by one; unusable labels are not learned from; of
+windows that score the same the first is taken, which leaves the score as it
+is, and a score of just 0.5 predicts 1; an empty table gives an empty result;
+input columns named like an output column give way to it.
 """
 
 from __future__ import annotations
@@ -27,20 +38,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, labelled_sample, mix, small_batches, table, text_bytes
+from .common import bucket_of, discard, labelled_sample, mix, other_columns, small_batches, stash, table, text_bytes
 
 WINDOW, STRIDE = 32, 16
-HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 3, 4, 8
+HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 6, 8, 8
 WORD_BITS, CHAR_BITS, RUN_BITS, RUN = 16, 12, 18, 5
-#: Labelled rows that the model is fitted on, about, and words used of each.
-TRAIN_DOCS, TRAIN_WORDS = 5000, 4000
+#: Labelled rows that the model is fitted on, about, and windows that are
+#: learned from of each, some of them at random.
+TRAIN_DOCS, PICKED, RANDOM = 5000, 8, 2
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.01, 9
 #: Small samples are gone through more often, so that so many steps are made.
 MIN_STEPS = 150
-#: Share of words whose embeddings are hidden in training, so that log-odds are
-#: relied on and rare words are not learned by heart; and the rate of these
-#: tables against the others'.
-DROP, TABLE_RATE = 0.5, 0.2
+#: Shares of words whose embeddings are hidden in training, and whose log-odds
+#: are; and the rate of the tables against the others'.
+DROP, DROP_ODDS, TABLE_RATE = 0.35, 0.35, 1.0
 #: Strength of the shrinkage of a word's rate to the sample's.
 SHRINK = 8.0
 #: Distinct words whose input projections a worker remembers.
@@ -103,8 +114,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def new_parameters(rng: np.random.Generator, prior: float) -> dict[str, np.ndarray]:
-    d = 2 + WORD_DIM + CHAR_DIM
-    p = {"word": np.zeros((1 << WORD_BITS, WORD_DIM)), "char": rng.normal(0, 0.1, (1 << CHAR_BITS, CHAR_DIM))}
+    d = ODDS + WORD_DIM + CHAR_DIM
+    p = {"word": rng.normal(0, 0.1, (1 << WORD_BITS, WORD_DIM)), "char": rng.normal(0, 0.1, (1 << CHAR_BITS, CHAR_DIM))}
     for side in "fb":
         p["x" + side] = rng.normal(0, d**-0.5, (d, 3 * HIDDEN))
         p["u" + side] = rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN))
@@ -116,12 +127,15 @@ def new_parameters(rng: np.random.Generator, prior: float) -> dict[str, np.ndarr
     return p
 
 
-def inputs(odds: np.ndarray, runs: np.ndarray, p: dict[str, np.ndarray], buckets: np.ndarray, grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """[words, inputs], of the words' odds and highest odds of runs; a word of punctuation alone has no trigram and a zero there."""
-    n = len(buckets)
-    share = np.bincount(owner, minlength=n).clip(1)
-    char = np.stack([np.bincount(owner, p["char"][grams, k], minlength=n) for k in range(CHAR_DIM)], 1) / share[:, None]
-    return np.concatenate((odds[:, None], runs[:, None], p["word"][buckets], char), 1)
+#: Of a word's input, the first columns are log-odds.
+ODDS = 2
+
+
+def inputs(odds: np.ndarray, p: dict[str, np.ndarray], buckets: np.ndarray, grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """[words, inputs], of the words' two log-odds; a word of punctuation alone has no trigram and a zero there."""
+    share = np.bincount(owner, minlength=len(buckets)).clip(1)
+    char = summed(p["char"][grams], owner, len(buckets)) / share[:, None].astype(p["char"].dtype)
+    return np.concatenate((odds.astype(p["char"].dtype), p["word"][buckets], char), 1)
 
 
 def gru(proj: np.ndarray, ids: np.ndarray, u: np.ndarray, back: bool, keep: list | None = None) -> np.ndarray:
@@ -184,8 +198,9 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, y: np.nd
     d_x = np.zeros_like(x)
     for side, part in (("f", d_states[:, :, :HIDDEN]), ("b", d_states[:, :, HIDDEN:])):
         u, wx = p["u" + side], p["x" + side]
-        g["u" + side], g["x" + side], g["c" + side] = np.zeros_like(u), np.zeros_like(wx), np.zeros(3 * HIDDEN)
-        d_h = np.zeros((len(ids), HIDDEN))
+        g["u" + side] = np.zeros_like(u)
+        d_h = np.zeros((len(ids), HIDDEN), x.dtype)
+        d_in_of = np.zeros((len(x), 3 * HIDDEN), x.dtype)
         for t, h, r, z, n, hu, mask in reversed(kept[side]):
             d_h = d_h + part[t]
             d_new = np.where(mask, d_h, 0.0)
@@ -197,54 +212,98 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, y: np.nd
             g["u" + side] += h.T @ d_hu
             rows = np.flatnonzero(mask[:, 0])
             at = ids[rows, t]
-            g["x" + side] += x[at].T @ d_in[rows]
-            g["c" + side] += d_in[rows].sum(0)
-            np.add.at(d_x, at, d_in[rows] @ wx.T)
+            np.add.at(d_in_of, at, d_in[rows])
             d_h = np.where(mask, d_new * z, d_h) + d_hu @ u.T
+        g["x" + side], g["c" + side] = x.T @ d_in_of, d_in_of.sum(0)
+        d_x += d_in_of @ wx.T
     return loss, g, d_x
 
 
-def log_odds(docs: list[tuple[np.ndarray, int]], bits: int = WORD_BITS) -> np.ndarray:
+@dataclass
+class Odds:
     """Shrunk log of a bucket's rate of toxic documents over the sample's."""
-    seen, bad = np.zeros(1 << bits), np.zeros(1 << bits)
-    for buckets, label in docs:
-        at = np.unique(buckets)
-        seen[at] += 1
-        bad[at] += label
-    rate = max(sum(y for _, y in docs), 0.5) / max(len(docs), 1)
-    return np.log((bad + SHRINK * rate) / (seen + SHRINK) / rate)
+
+    word: np.ndarray
+    run: np.ndarray
+
+    def of(self, words: list[bytes], buckets: np.ndarray) -> np.ndarray:
+        return np.stack((self.word[buckets], highest(self.run, words)), 1)
+
+
+def tally(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the whole text's words and of their runs, each once."""
+    words = normal(list(set(text.split())))
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.unique(word_bucket(words)), np.unique(grams_of(words, RUN, RUN_BITS)[0])
+
+
+class Counts:
+    """Documents and toxic documents of each half of the sample by bucket."""
+
+    def __init__(self) -> None:
+        self.docs = np.zeros((2, 2), np.int64)  # half; all, toxic
+        self.word = np.zeros((2, 2, 1 << WORD_BITS), np.int64)
+        self.run = np.zeros((2, 2, 1 << RUN_BITS), np.int64)
+
+    def add(self, half: int, label: int, text: bytes) -> None:
+        for table_, at in zip((self.word, self.run), tally(text), strict=True):
+            table_[half, 0, at] += 1
+            table_[half, 1, at] += label
+        self.docs[half] += (1, label)
+
+    def odds(self, halves: list[int]) -> Odds:
+        n, toxic = self.docs[halves].sum(0)
+        rate = max(toxic, 0.5) / max(n, 1)
+        shrunk = lambda t: np.log((t[halves, 1].sum(0) + SHRINK * rate) / (t[halves, 0].sum(0) + SHRINK) / rate).astype(np.float32)
+        return Odds(shrunk(self.word), shrunk(self.run))
+
+
+def picked_windows(text: bytes, odds: Odds, seed: int) -> list[list[bytes]]:
+    """At most ``PICKED`` windows of the whole text, as normal words."""
+    words = normal(text.split())
+    at = window_rows(len(words))
+    if len(at) > PICKED:
+        distinct = list(dict.fromkeys(words))
+        number = {w: i for i, w in enumerate(distinct)}
+        weight = (np.maximum(odds.of(distinct, word_bucket(distinct)), 0.0) ** 2).sum(1)
+        each = np.append(weight[np.fromiter(map(number.__getitem__, words), np.int64, len(words))], 0.0)
+        order = np.argsort(-each[at].sum(1), kind="stable")
+        more = np.random.default_rng(seed).choice(order[PICKED - RANDOM :], RANDOM, replace=False)
+        at = at[np.sort(np.append(order[: PICKED - RANDOM], more))]
+    return [[words[i] for i in row if i >= 0] for row in at]
 
 
 def train(texts: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """The model of texts with labels, in the order given."""
-    toxic = sum(y for _, y in texts)
-    if not 0 < toxic < len(texts):
-        return Model(np.zeros(1 << WORD_BITS), np.zeros(1 << RUN_BITS), None, toxic / len(texts) if texts else 0.0)
+    counts = Counts()
+    for i, (t, y) in enumerate(texts):
+        counts.add(i & 1, y, t)
+    other = [counts.odds([1]), counts.odds([0])]
+    return learn([(i & 1, y, picked_windows(t, other[i & 1], i)) for i, (t, y) in enumerate(texts)], counts, epochs, seed)
+
+
+def learn(sample: list[tuple[int, int, list[list[bytes]]]], counts: Counts, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """The model of (half, label, windows) in the order given."""
+    toxic = sum(y for _, y, _ in sample)
+    if not 0 < toxic < len(sample):
+        return Model(np.zeros(1 << WORD_BITS), np.zeros(1 << RUN_BITS), None, toxic / len(sample) if sample else 0.0)
     rng = np.random.default_rng(seed)
     number: dict[bytes, int] = {}
-    docs = [(np.array([number.setdefault(w, len(number)) for w in normal(t.split()[:TRAIN_WORDS])], np.int64), y) for t, y in texts]
+    rows = [[number.setdefault(w, len(number)) for w in window] for _, _, windows in sample for window in windows]
+    flat = np.full((len(rows), WINDOW), -1, np.int64)
+    for i, row in enumerate(rows):
+        flat[i, : len(row)] = row
+    ends = np.cumsum([len(windows) for *_, windows in sample])
+    starts = np.append(0, ends[:-1])
+    half_of, label_of = np.array([h for h, *_ in sample]), np.array([y for _, y, _ in sample])
     words = list(number)
-    del number
-    buckets = word_bucket(words) if words else np.zeros(0, np.int64)
+    del number, rows
+    buckets = word_bucket(words)
     grams, owner = trigrams(words)
-    order = np.argsort(owner, kind="stable")
-    grams, owner = grams[order], owner[order]
-    ends = np.searchsorted(owner, np.arange(len(words) + 1))
-    run, run_of = grams_of(words, RUN, RUN_BITS)
-    run_ends = np.searchsorted(run_of, np.arange(len(words) + 1))
-
-    def runs_of(ids: np.ndarray) -> np.ndarray:
-        ids = np.unique(ids)
-        return np.concatenate([run[run_ends[w] : run_ends[w + 1]] for w in ids]) if len(ids) else run[:0]
-
-    def counted(part: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-        return log_odds([(buckets[d], y) for d, y in part]), log_odds([(runs_of(d), y) for d, y in part], RUN_BITS)
-
-    def odds_of(pair: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return pair[0][buckets], highest(pair[1], words)
-
-    halves = [odds_of(counted(docs[k::2])) for k in (1, 0)]  # of the other half
-    p = new_parameters(rng, min(max(toxic / len(docs), 0.01), 0.5))
+    gram_ends = np.searchsorted(owner, np.arange(len(words) + 1))
+    other = [counts.odds([1]).of(words, buckets), counts.odds([0]).of(words, buckets)]
+    p = {k: x.astype(np.float32) for k, x in new_parameters(rng, min(max(toxic / len(sample), 0.01), 0.5)).items()}
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
 
     def adam(k: str, g: np.ndarray, at=slice(None)) -> None:
@@ -252,62 +311,53 @@ def train(texts: list[tuple[bytes, int]], epochs: int = EPOCHS, seed: int = SEED
         v[k][at] = 0.999 * v[k][at] + 0.001 * g * g
         p[k][at] -= (RATE * TABLE_RATE if k in ("word", "char") else RATE) * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(v[k][at] / (1 - 0.999**step)) + 1e-8)
 
-    batch = min(BATCH, max(32, len(docs) // 8))
-    for _ in range(max(epochs, -(-MIN_STEPS * batch // (2 * len(docs))))):
-        full = [inputs(*o, p, buckets, grams, owner).astype(np.float32) for o in halves]
-        p32 = {k: x.astype(np.float32) for k, x in p.items() if k not in ("word", "char")}
-        proj = [projections(x, p32) for x in full]
-        chosen: list[tuple[int, np.ndarray, int]] = []
+    batch = min(BATCH, max(32, len(sample) // 8))
+    for _ in range(max(epochs, -(-MIN_STEPS * batch // (2 * len(sample))))):
+        score = np.empty(len(flat), np.float32)
+        by_half = np.repeat(half_of, ends - starts)
         for half in (0, 1):
-            rows, at = [], []
-            mine = list(range(half, len(docs), 2))
-            for i in mine:
-                found = window_rows(len(docs[i][0]))
-                rows.append(np.where(found >= 0, np.append(docs[i][0], -1)[found], -1))
-                at.append(len(rows[-1]))
-            flat = np.concatenate(rows)
-            scores = np.concatenate([logits(proj[half], flat[k : k + 4096], p32) for k in range(0, len(flat), 4096)])
-            start = 0
-            for i, n in zip(mine, at, strict=True):
-                best = start + int(np.argmax(scores[start : start + n]))
-                chosen.append((half, flat[best], docs[i][1]))
-                if not docs[i][1]:
-                    chosen.append((half, flat[start + int(rng.integers(n))], 0))
-                start += n
-        del full, proj
-        by = [chosen[i] for i in rng.permutation(len(chosen))]
+            mine = np.flatnonzero(by_half == half)
+            proj = projections(inputs(other[half], p, buckets, grams, owner), p)
+            for k in range(0, len(mine), 4096):
+                score[mine[k : k + 4096]] = logits(proj, flat[mine[k : k + 4096]], p)
+        best = np.array([a + int(np.argmax(score[a:b])) for a, b in zip(starts, ends, strict=True)])
+        clean = np.flatnonzero(label_of == 0)
+        extra = starts[clean] + rng.integers(0, (ends - starts)[clean])
+        chosen = np.concatenate((np.stack((best, np.arange(len(sample))), 1), np.stack((extra, clean), 1)))
+        chosen = chosen[rng.permutation(len(chosen))]
         for half in (0, 1):
-            own = [x for x in by if x[0] == half]
+            own = chosen[half_of[chosen[:, 1]] == half]
             for k in range(0, len(own), batch):
                 part = own[k : k + batch]
-                ids, y = np.stack([x[1] for x in part]), np.array([x[2] for x in part], float)
+                ids, y = flat[part[:, 0]], label_of[part[:, 1]].astype(np.float32)
                 used, back = np.unique(np.append(ids.ravel(), -1), return_inverse=True)
                 used = used[1:]
                 local = back[:-1].reshape(ids.shape) - 1
                 if not len(used):
                     continue
-                pieces = np.concatenate([np.arange(ends[w], ends[w + 1]) for w in used])
-                own_of = np.repeat(np.arange(len(used)), ends[used + 1] - ends[used])
-                x = inputs(halves[half][0][used], halves[half][1][used], p, buckets[used], grams[pieces], own_of)
-                shown = (rng.random(len(used)) >= DROP)[:, None] / (1 - DROP)
-                x[:, 2:] *= shown
-                _, g, d_x = gradients(p, x, local, y)
-                d_x[:, 2:] *= shown
+                pieces = np.concatenate([np.arange(gram_ends[w], gram_ends[w + 1]) for w in used])
+                own_of = np.repeat(np.arange(len(used)), gram_ends[used + 1] - gram_ends[used])
+                x = inputs(other[half][used], p, buckets[used], grams[pieces], own_of)
+                draw = rng.random(len(used))[:, None]
+                shown = np.ones_like(x)
+                shown[:, :ODDS] = (draw >= DROP_ODDS) / (1 - DROP_ODDS)
+                shown[:, ODDS:] = (draw < 1 - DROP) / (1 - DROP)
+                _, g, d_x = gradients(p, x * shown, local, y)
+                d_x *= shown
                 step += 1
                 for key, grad in g.items():
                     adam(key, grad)
-                at = buckets[used]
-                one = np.unique(at)
-                d_word = np.zeros((len(one), WORD_DIM))
-                np.add.at(d_word, np.searchsorted(one, at), d_x[:, 2 : 2 + WORD_DIM])
-                adam("word", d_word, one)
-                share = np.bincount(own_of, minlength=len(used)).clip(1)
-                d_char = d_x[:, 2 + WORD_DIM :] / share[:, None]
+                one, back = np.unique(buckets[used], return_inverse=True)
+                adam("word", summed(d_x[:, ODDS : ODDS + WORD_DIM], back, len(one)), one)
+                d_char = d_x[:, ODDS + WORD_DIM :] / np.bincount(own_of, minlength=len(used)).clip(1)[:, None]
                 one, back = np.unique(grams[pieces], return_inverse=True)
-                d_gram = np.stack([np.bincount(back, d_char[own_of, k2], minlength=len(one)) for k2 in range(CHAR_DIM)], 1)
-                adam("char", d_gram, one)
-    whole = counted(docs)
-    return Model(whole[0].astype(np.float32), whole[1].astype(np.float32), {k: x.astype(np.float32) for k, x in p.items()}, 0.0)
+                adam("char", summed(d_char[own_of], back, len(one)), one)
+    whole = counts.odds([0, 1])
+    return Model(whole.word, whole.run, p, 0.0)
+
+
+def summed(rows: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(to, rows[:, k], minlength=n) for k in range(rows.shape[1])], 1).astype(rows.dtype)
 
 
 class Scorer:
@@ -321,7 +371,7 @@ class Scorer:
     def learn(self, words: list[bytes]) -> None:
         grams, owner = trigrams(plain := normal(words))
         at = word_bucket(plain)
-        x = inputs(self.model.odds[at], highest(self.model.runs, plain), self.model.p, at, grams, owner).astype(np.float32)
+        x = inputs(Odds(self.model.odds, self.model.runs).of(plain, at), self.model.p, at, grams, owner)
         first, second = projections(x, self.model.p)
         at = len(self.row)
         need = at + len(words) + 1
@@ -366,14 +416,43 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", key: str = "doc_id", text: str = "text", bound: int = TRAIN_DOCS) -> Model:
-    picked = labelled_sample(docs, labels, label, usable, bound, key, text)
-    rows = [(r["h"], r["key"], r["label"], r["text"].encode()) for r in picked.toLocalIterator()]
-    return train([(t, y) for _, _, y, t in sorted(rows)])
+    spark = docs.sparkSession
+    picked = stash(labelled_sample(docs, labels, label, usable, bound, key, text).select("h", "label", "text"), "op9-sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        for batch in small_batches(batches, "text"):
+            for h, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
+                counts.add(h & 1, y, t)
+        for kind, found in enumerate((counts.docs[:, :, None], counts.word, counts.run)):
+            half, at = np.nonzero(found[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(half.astype(np.int32)), pa.array(at), pa.array(found[half, 0, at]), pa.array(found[half, 1, at])], names=["kind", "half", "at", "n", "bad"])
+
+    # a row for each half and bucket at most
+    sums = picked.mapInArrow(count, "kind int, half int, at long, n long, bad long").groupBy("kind", "half", "at").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).toArrow()
+    kind, half, at, n, bad = (np.asarray(sums.column(c)) for c in ("kind", "half", "at", "n", "bad"))
+    counts = Counts()
+    for k, table_ in enumerate((counts.docs[:, :, None], counts.word, counts.run)):
+        of = kind == k
+        table_[half[of], 0, at[of]], table_[half[of], 1, at[of]] = n[of], bad[of]
+    shared = spark.sparkContext.broadcast([counts.odds([1]), counts.odds([0])])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            hashes = batch.column(0).to_pylist()
+            found = [picked_windows(t, shared.value[h & 1], h) for h, t in zip(hashes, text_bytes(batch.column(2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[b" ".join(w) for w in x] for x in found], pa.list_(pa.binary()))], names=["h", "label", "windows"])
+
+    rows = sorted((r["h"], r["label"], [bytes(w) for w in r["windows"]]) for r in picked.mapInArrow(pick, "h long, label int, windows array<binary>").toLocalIterator())
+    discard(picked)
+    # an empty word is one of punctuation; a window without a word is empty
+    return learn([(h & 1, y, [w.split(b" ") if w else [] for w in windows]) for h, y, windows in rows], counts)
 
 
 def with_toxicity(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
-    """The rows of ``docs`` with the text replaced by score and prediction."""
-    rest = [c for c in docs.columns if c != text]
+    """The rows of ``docs`` with the text replaced by score and prediction, which
+    take the place of columns of their names."""
+    rest = other_columns(docs, text, score, predicted)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
