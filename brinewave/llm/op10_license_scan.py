@@ -2,18 +2,22 @@
 then inheritance from the nearest ancestor directory by path joins (JVM-side
 only).
 
-1. Passages: every line of the whole text with a licence cue; of a file whose
-   name is a licence file's, the whole and each of its paragraphs, as a real
-   licence text is too long to be like a notice. A paragraph that gives another
-   version than the template's is not its, and as real texts begin with a
-   copyright, a paragraph's ``Proprietary`` counts only if there is no other.
+1. Passages: every line of the whole text with a licence cue, and every
+   paragraph with one (what lies between blank or comment-only lines), as
+   headers and licences run over lines; of a file whose name is a licence
+   file's, also the whole and all of its paragraphs.
 2. Terms are lower-case runs of letters and digits (dots inside kept). Document
    frequencies of the templates' terms are counted over all files; a term that
    no template has weighs as much as one in a single file. Vectors are tf * idf,
    and the cosine to each template is a sparse dot product by a join on terms.
-3. A file's licence is that of its best passage at ``MIN_COSINE`` or more
-   (ties: the template first by name). A licence file, by name or because at
-   least ``FILE_SHARE`` of its words are such passages, holds for its directory.
+   A passage meets the templates only if its part within their vocabulary is
+   long enough, against the whole vector, for a cosine of ``MIN_COSINE``.
+3. A passage that gives a version, or an SPDX tag, is not that of a template with
+   another one. A file's licence is that of its best passage at ``MIN_COSINE`` or
+   more (ties: the template first by name); as licences come with a copyright,
+   ``Proprietary`` counts only if there is no other. A licence file, by name or
+   because at least ``FILE_SHARE`` of its words are such passages, holds for its
+   directory.
 4. Files without a licence of their own inherit from the nearest directory
    above them that has one: distinct directories are unfolded into their
    ancestors and joined by path, files only meet one row for each directory.
@@ -21,7 +25,9 @@ only).
 Defined results: null or empty texts have no passage and can inherit; a null
 path has no directory and inherits nothing; of several licence files in a
 directory the best cosine counts, then the template's name; repeated rows are
-files of their own with the same result; empty tables give an empty result.
+files of their own with the same result; passages of any length are compared;
+other columns are not read, so their names cannot clash; empty tables give an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,26 +39,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash, table, word_count
+from .license_texts import TEMPLATES
 
-#: Short forms of public licences' notices, by SPDX identifier.
-TEMPLATES = {
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "Proprietary": ["Copyright. All rights reserved."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
-}
 CUE = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|creative commons|redistribution and use|permission is hereby granted|spdx"
 LICENCE_NAME = r"(?i)^(un)?licen[cs]e([-_.].*)?$|^copying([-_.].*)?$|^notice([-_.].*)?$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+#: Paragraphs are separated by lines that are blank but for comment signs.
+BREAK = r"\n(?:[ \t\r#*/;%-]*\n)+"
+TAG = r"spdx-license-identifier:\s*([a-z0-9.+-]*[a-z0-9+])"
 VERSION = r"(?:\bversion|\bv\.?)\s*([0-9]+(?:\.[0-9]+)*)"
 MIN_COSINE = 0.6
 FILE_SHARE = 0.2
@@ -80,6 +74,11 @@ def version(text: Column, pattern: str) -> Column:
     return F.regexp_replace(F.regexp_extract(F.lower(text), pattern, 1), r"\.0$", "")
 
 
+def tag(text: Column) -> Column:
+    """The SPDX identifier in a text ('' if none), without what follows its version."""
+    return F.regexp_replace(F.regexp_extract(F.lower(text), TAG, 1), r"(-only|-or-later|\+)$", "")
+
+
 def directory(path: Column) -> Column:
     """The path up to its last slash ('' for the root); null for a null path."""
     return F.when(path.isNotNull(), F.regexp_replace(path, r"(^|/)[^/]*$", ""))
@@ -88,17 +87,18 @@ def directory(path: Column) -> Column:
 def passages(files: DataFrame) -> DataFrame:
     """The rows of ``files`` (id, path, text) with n_words, df (template terms
     of the whole text) and lines, the passages."""
-    named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_NAME)
+    named = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_NAME), F.lit(False))
     text = F.coalesce("text", F.lit(""))
-    lines = F.when(F.coalesce(named, F.lit(False)), F.array_distinct(F.concat(F.array(text), F.split(text, r"\r?\n[ \t]*\r?\n")))).otherwise(F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE)))
-    return files.select(
-        "id", "key", "path", F.coalesce(named, F.lit(False)).alias("named"), word_count(F.col("text")).alias("n_words"), F.array_intersect(F.lit(VOCABULARY), terms(text)).alias("df"), lines.alias("lines")
+    cued = lambda parts: F.filter(parts, lambda x: x.rlike(CUE))
+    lines = F.when(~named & ~text.rlike(CUE), F.array().cast("array<string>")).otherwise(
+        F.concat(cued(F.split(text, "\n")), F.when(named, F.concat(F.split(text, BREAK), F.array(text))).otherwise(cued(F.split(text, BREAK))))
     )
+    return files.select("id", "key", "path", named.alias("named"), word_count(F.col("text")).alias("n_words"), F.array_intersect(F.lit(VOCABULARY), terms(text)).alias("df"), F.array_distinct(lines).alias("lines"))
 
 
 def matches(found: DataFrame, n_files: int, min_cosine: float) -> DataFrame:
-    """id, line, template, cosine, words, late: the best template of each passage;
-    late ones count only if a file has no other."""
+    """id, line, template, cosine, words, single (on one line): the best template
+    of each passage."""
     spark = found.sparkSession
     counted = {r["t"]: r["c"] for r in found.select(F.explode("df").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).collect()}  # the vocabulary at most
     idf = {t: math.log((n_files + 1) / (counted.get(t, 0) + 1)) + 1 for t in VOCABULARY}
@@ -106,25 +106,25 @@ def matches(found: DataFrame, n_files: int, min_cosine: float) -> DataFrame:
     norm: dict[tuple[str, int], float] = {}
     for name, k, t, c in template_terms():
         norm[name, k] = norm.get((name, k), 0.0) + (c * idf[t]) ** 2
-    # a row for each term of a template: a constant of this module
+    # a row for each term of a template: a constant of this package
     weights = F.broadcast(spark.createDataFrame([(n, k, t, c * idf[t] ** 2 / math.sqrt(norm[n, k])) for n, k, t, c in template_terms()], "template string, form int, term string, w double"))
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
-    part = F.col("named") & (F.col("line") > 0)  # a paragraph of a licence file
-    said = F.when(part, version(F.col("text"), VERSION))
-    lines = found.select("id", "named", F.posexplode("lines").alias("line", "text")).select("id", "line", said.alias("said"), word_count(F.col("text")).alias("words"), F.posexplode(terms(F.col("text"))).alias("at", "term"))
-    counts = lines.groupBy("id", "line", "said", "words", "term").agg(F.count(F.lit(1)).alias("tf"))
+    text = F.col("text")
+    lines = found.select("id", F.posexplode("lines").alias("line", "text")).select("id", "line", F.struct(version(text, VERSION).alias("said"), tag(text).alias("tag"), word_count(text).alias("words"), (~text.contains("\n")).alias("single")).alias("of"), terms(text).alias("terms"))
+    counts = stash(lines.select("id", "line", "of", F.explode("terms").alias("term")).groupBy("id", "line", "of", "term").agg(F.count(F.lit(1)).alias("tf")), "op10-counts")
     length = (
         counts.join(known, counts["term"] == known["word"], "left")
-        .groupBy("id", "line", "said", "words")
-        .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"))
+        .groupBy("id", "line", "of")
+        .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"), F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("inside"))
     )
-    dots = counts.join(weights, "term").groupBy("id", "line", "template", "form").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"))
-    scored = dots.join(length, ["id", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
-    of = version(F.col("template"), r"-([0-9]+(?:\.[0-9]+)*)$")
-    fits = F.col("said").isNull() | (F.col("said") == "") | (of == "") | (F.col("said") == of)
-    best = scored.filter((F.col("cosine") >= min_cosine) & fits).groupBy("id", "line", "said", "words").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "template")).alias("b"))
-    late = F.col("said").isNotNull() & (F.col("b.template") == "Proprietary")
-    return best.select("id", "line", "words", F.col("b.template").alias("template"), (-F.col("b.c")).alias("cosine"), late.alias("late"))
+    # the cosine is at most inside / norm; the slack is for rounding
+    can = stash(length.filter(F.col("inside") >= (min_cosine - 1e-6) * F.col("norm")).select("id", "line", "norm"), "op10-lengths")
+    dots = counts.join(can, ["id", "line"]).join(weights, "term").groupBy("id", "line", "of", "norm", "template", "form").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"))
+    scored = dots.withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
+    number = version(F.col("template"), r"-([0-9]+(?:\.[0-9]+)*)$")
+    fits = ((F.col("of.said") == "") | (number == "") | (F.col("of.said") == number)) & ((F.col("of.tag") == "") | (F.col("of.tag") == F.lower("template")))
+    best = scored.filter((F.col("cosine") >= min_cosine) & fits).groupBy("id", "line", "of").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "template")).alias("b"))
+    return best.select("id", "line", "of.words", "of.single", F.col("b.template").alias("template"), (-F.col("b.c")).alias("cosine"))
 
 
 def ancestors(path: Column) -> Column:
@@ -147,7 +147,10 @@ def scan(files: DataFrame, key: str, path: str, text: str = "text", min_cosine:
     identity = F.concat(F.hex(F.xxhash64("key", "path", "text")), F.hex(F.xxhash64(F.lit(1), "key", "path", "text")))
     found = stash(passages(rows.withColumn("id", identity)), "op10-passages")
     hits = stash(matches(found, found.count(), min_cosine), "op10-matches")
-    own = hits.groupBy(F.col("id").alias("of")).agg(F.min(F.struct("late", (-F.col("cosine")).alias("c"), "template")).alias("best"), F.sum("words").alias("licence_words"))
+    late = (F.col("template") == "Proprietary").alias("late")
+    # lines are parts of paragraphs, and paragraphs of the whole
+    said = F.greatest(F.coalesce(F.sum(F.when(F.col("single"), F.col("words"))), F.lit(0)), F.max("words"))
+    own = hits.groupBy(F.col("id").alias("of")).agg(F.min(F.struct(late, (-F.col("cosine")).alias("c"), "template")).alias("best"), said.alias("licence_words"))
     own = own.select("of", F.struct("best.c", "best.template").alias("own"), "licence_words")
     slim = found.select("id", "key", "path", "named", "n_words", directory(F.col("path")).alias("dir"))
     judged = stash(slim.join(own, slim["id"] == own["of"], "left").drop("of"), "op10-judged")
@@ -167,15 +170,22 @@ def scan(files: DataFrame, key: str, path: str, text: str = "text", min_cosine:
     )
 
 
-#: Documents have no path: a directory for each source, and in it one for each
-#: hundred ids.
-BLOCK = 100
+def path_sql(div: str) -> str:
+    """A path for a document, as it has none: in turns of twenty ids, one turn of
+    ten is of files in directories of a thousand ids (every other such turn of
+    files that are named as a licence is), one of files in the source's directory,
+    and the others of files in directories of a hundred ids, a level below."""
+    upper, lower = f"CAST(doc_id {div} 1000 AS STRING)", f"CAST(doc_id {div} 100 AS STRING)"
+    turn = f"(doc_id {div} 20)"
+    return (
+        f"source || '/' || CASE {turn} % 10 WHEN 0 THEN {upper} || CASE WHEN {turn} % 20 = 0 THEN '/LICENSE.' ELSE '/f' END || CAST(doc_id AS STRING) "
+        f"WHEN 1 THEN 'f' || CAST(doc_id AS STRING) ELSE {upper} || '/' || {lower} || '/f' || CAST(doc_id AS STRING) END"
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = F.concat("source", F.lit("/"), F.expr(f"doc_id div {BLOCK}").cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return scan(docs.select("doc_id", path.alias("path"), "text"), "doc_id", "path")
+    return scan(docs.select("doc_id", F.expr(path_sql("div")).alias("path"), "text"), "doc_id", "path")
 
 
 def _values(rows: list[tuple]) -> str:
@@ -186,11 +196,11 @@ def _values(rows: list[tuple]) -> str:
 ORACLE_SQL = rf"""
 WITH forms(template, form, term, c) AS (VALUES {_values(template_terms())}),
 vocabulary AS (SELECT DISTINCT term FROM forms),
+paths AS (SELECT doc_id, coalesce(text, '') AS text, {path_sql("//")} AS path FROM documents),
 files AS (
-  SELECT doc_id, source || '/' || CAST(doc_id // {BLOCK} AS VARCHAR) AS dir, coalesce(text, '') AS text,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS BIGINT) AS n_words
-  FROM documents
+  SELECT doc_id, path, text, regexp_replace(path, '(^|/)[^/]*$', '') AS dir, coalesce(regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{LICENCE_NAME}'), false) AS named,
+         CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_words
+  FROM paths
 ),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM files),
 seen AS (
@@ -199,10 +209,15 @@ seen AS (
 idf AS (SELECT v.term, ln((n + 1) / (coalesce(s.c, 0) + 1)) + 1 AS idf FROM vocabulary v CROSS JOIN n LEFT JOIN seen s USING (term)),
 norms AS (SELECT template, form, sqrt(sum((c * idf) * (c * idf))) AS norm FROM forms JOIN idf USING (term) GROUP BY ALL),
 weights AS (SELECT template, form, term, c * idf * idf / norm AS w FROM forms JOIN idf USING (term) JOIN norms USING (template, form)),
-lines AS (
-  SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM files)
+split AS (SELECT doc_id, text, named, string_split(text, chr(10)) AS lines, regexp_split_to_array(text, '{BREAK}') AS blocks FROM files),
+parts AS (
+  SELECT doc_id, list_distinct(list_concat(list_filter(lines, lambda x: regexp_matches(x, '{CUE}')), CASE WHEN named THEN list_append(blocks, text) ELSE list_filter(blocks, lambda x: regexp_matches(x, '{CUE}')) END)) AS parts FROM split
+),
+passages AS (
+  SELECT *, regexp_replace(regexp_extract(lower(text), '{VERSION}', 1), '\.0$', '') AS said, regexp_replace(regexp_extract(lower(text), '{TAG}', 1), '(-only|-or-later|\+)$', '') AS tag,
+    NOT contains(text, chr(10)) AS single, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words
+  FROM (SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS text FROM parts)
 ),
-passages AS (SELECT * FROM lines WHERE regexp_matches(text, '{CUE}')),
 counts AS (
   SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM passages) GROUP BY ALL
 ),
@@ -211,25 +226,33 @@ lengths AS (
   FROM counts CROSS JOIN n LEFT JOIN idf USING (term) GROUP BY ALL
 ),
 scored AS (
-  SELECT doc_id, line, template, round(max(dot / norm), 9) AS cosine
+  SELECT doc_id, line, template, round(max(dot / norm), 9) AS cosine, regexp_replace(regexp_extract(lower(template), '-([0-9]+(?:\.[0-9]+)*)$', 1), '\.0$', '') AS number
   FROM (SELECT doc_id, line, template, form, sum(tf * w) AS dot FROM counts JOIN weights USING (term) GROUP BY ALL) JOIN lengths USING (doc_id, line) GROUP BY ALL
 ),
 hits AS (
-  SELECT doc_id, line, template, cosine FROM scored WHERE cosine >= {MIN_COSINE}
+  SELECT doc_id, line, template, cosine, words, single FROM scored JOIN passages USING (doc_id, line)
+  WHERE cosine >= {MIN_COSINE} AND (said = '' OR number = '' OR said = number) AND (tag = '' OR tag = lower(template))
   QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY cosine DESC, template) = 1
 ),
 own AS (
-  SELECT doc_id, first(template ORDER BY cosine DESC, template) AS template, max(cosine) AS cosine,
-         sum(len(regexp_extract_all(text, '[^ 	-
-]+'))) AS words
-  FROM hits JOIN passages USING (doc_id, line) GROUP BY doc_id
+  SELECT doc_id, first(template ORDER BY template = 'Proprietary', cosine DESC, template) AS template, first(cosine ORDER BY template = 'Proprietary', cosine DESC, template) AS cosine,
+         greatest(coalesce(sum(words) FILTER (single), 0), max(words)) AS words
+  FROM hits GROUP BY doc_id
 ),
 holders AS (
   SELECT dir, first(template ORDER BY cosine DESC, template) AS template, max(cosine) AS cosine
-  FROM files JOIN own USING (doc_id) WHERE words >= {FILE_SHARE} * n_words AND dir IS NOT NULL GROUP BY dir
+  FROM files JOIN own USING (doc_id) WHERE (named OR words >= {FILE_SHARE} * n_words) AND dir IS NOT NULL GROUP BY dir
+),
+dirs AS (SELECT DISTINCT dir, string_split(dir, '/') AS names FROM files WHERE dir IS NOT NULL),
+above AS (
+  SELECT dir AS below, depth, CASE WHEN depth = 0 THEN '' ELSE array_to_string(names[1:depth], '/') END AS dir
+  FROM (SELECT dir, names, unnest(range(0, len(names) + 1)) AS depth FROM dirs)
+),
+nearest AS (
+  SELECT below, dir AS holder, template, cosine FROM above JOIN holders USING (dir) QUALIFY row_number() OVER (PARTITION BY below ORDER BY depth DESC) = 1
 )
 SELECT f.doc_id, coalesce(o.template, h.template) AS license, coalesce(o.cosine, h.cosine) AS cosine,
        CASE WHEN o.template IS NOT NULL THEN 'own' WHEN h.template IS NOT NULL THEN 'inherited' END AS license_from,
-       CASE WHEN o.template IS NULL THEN h.dir END AS license_dir
-FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN holders h ON f.dir = h.dir
+       CASE WHEN o.template IS NULL THEN h.holder END AS license_dir
+FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN nearest h ON f.dir = h.below
 """
