@@ -2,10 +2,11 @@
 then inheritance from the nearest ancestor directory by path joins (JVM-side
 only).
 
-1. Passages: every line of the whole text with a licence cue, and every
-   paragraph with one (what lies between blank or comment-only lines), as
-   headers and licences run over lines; of a file whose name is a licence
-   file's, also the whole and all of its paragraphs.
+1. Passages: every line of the whole text with a licence cue, and the paragraph
+   around it (what lies between blank or comment-only lines), as headers run
+   over lines; of a paragraph of more than ``SPAN`` lines, so many from shortly
+   before each line with a cue; of a file whose name is a licence file's, also
+   the whole and all of its paragraphs.
 2. Terms are lower-case runs of letters and digits (dots inside kept). Document
    frequencies of the templates' terms are counted over all files; a term that
    no template has weighs as much as one in a single file. Vectors are tf * idf,
@@ -46,6 +47,7 @@ LICENCE_NAME = r"(?i)^(un)?licen[cs]e([-_.].*)?$|^copying([-_.].*)?$|^notice([-_
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Paragraphs are separated by lines that are blank but for comment signs.
 BREAK = r"\n(?:[ \t\r#*/;%-]*\n)+"
+SPAN, BEFORE = 24, 3
 TAG = r"spdx-license-identifier:\s*([a-z0-9.+-]*[a-z0-9+])"
 VERSION = r"(?:\bversion|\bv\.?)\s*([0-9]+(?:\.[0-9]+)*)"
 MIN_COSINE = 0.6
@@ -90,15 +92,18 @@ def passages(files: DataFrame) -> DataFrame:
     named = F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_NAME), F.lit(False))
     text = F.coalesce("text", F.lit(""))
     cued = lambda parts: F.filter(parts, lambda x: x.rlike(CUE))
-    lines = F.when(~named & ~text.rlike(CUE), F.array().cast("array<string>")).otherwise(
-        F.concat(cued(F.split(text, "\n")), F.when(named, F.concat(F.split(text, BREAK), F.array(text))).otherwise(cued(F.split(text, BREAK))))
-    )
+    rows = lambda block: F.split(block, "\n")
+    at = lambda block: F.filter(F.sequence(F.lit(1), F.size(rows(block))), lambda i: F.element_at(rows(block), i).rlike(CUE))
+    spans = lambda block: F.transform(at(block), lambda i: F.array_join(F.slice(rows(block), F.greatest(i - BEFORE, F.lit(1)), F.lit(SPAN)), "\n"))
+    blocks = F.split(text, BREAK)
+    near = F.flatten(F.transform(F.when(named, blocks).otherwise(cued(blocks)), lambda b: F.when(F.size(rows(b)) > SPAN, spans(b)).otherwise(F.array(b))))
+    lines = F.when(~named & ~text.rlike(CUE), F.array().cast("array<string>")).otherwise(F.concat(cued(rows(text)), near, F.when(named, F.array(text)).otherwise(F.array().cast("array<string>"))))
     return files.select("id", "key", "path", named.alias("named"), word_count(F.col("text")).alias("n_words"), F.array_intersect(F.lit(VOCABULARY), terms(text)).alias("df"), F.array_distinct(lines).alias("lines"))
 
 
 def matches(found: DataFrame, n_files: int, min_cosine: float) -> DataFrame:
-    """id, line, template, cosine, words, single (on one line): the best template
-    of each passage."""
+    """id, template, cosine, words, single (on one line): the best template of
+    each passage."""
     spark = found.sparkSession
     counted = {r["t"]: r["c"] for r in found.select(F.explode("df").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c")).collect()}  # the vocabulary at most
     idf = {t: math.log((n_files + 1) / (counted.get(t, 0) + 1)) + 1 for t in VOCABULARY}
@@ -110,21 +115,23 @@ def matches(found: DataFrame, n_files: int, min_cosine: float) -> DataFrame:
     weights = F.broadcast(spark.createDataFrame([(n, k, t, c * idf[t] ** 2 / math.sqrt(norm[n, k])) for n, k, t, c in template_terms()], "template string, form int, term string, w double"))
     known = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
     text = F.col("text")
-    lines = found.select("id", F.posexplode("lines").alias("line", "text")).select("id", "line", F.struct(version(text, VERSION).alias("said"), tag(text).alias("tag"), word_count(text).alias("words"), (~text.contains("\n")).alias("single")).alias("of"), terms(text).alias("terms"))
-    counts = stash(lines.select("id", "line", "of", F.explode("terms").alias("term")).groupBy("id", "line", "of", "term").agg(F.count(F.lit(1)).alias("tf")), "op10-counts")
+    lines = found.select("id", F.explode("lines").alias("text")).select("id", "text", version(text, VERSION).alias("said"), tag(text).alias("tag"), word_count(text).alias("words"), (~text.contains("\n")).alias("single"))
+    passage = stash(lines.withColumn("p", F.monotonically_increasing_id()), "op10-lines")
+    counts = stash(passage.select("p", F.explode(terms(text)).alias("term")).groupBy("p", "term").agg(F.count(F.lit(1)).alias("tf")), "op10-counts")
     length = (
         counts.join(known, counts["term"] == known["word"], "left")
-        .groupBy("id", "line", "of")
+        .groupBy("p")
         .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"), F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("inside"))
     )
     # the cosine is at most inside / norm; the slack is for rounding
-    can = stash(length.filter(F.col("inside") >= (min_cosine - 1e-6) * F.col("norm")).select("id", "line", "norm"), "op10-lengths")
-    dots = counts.join(can, ["id", "line"]).join(weights, "term").groupBy("id", "line", "of", "norm", "template", "form").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"))
-    scored = dots.withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
+    can = stash(length.filter(F.col("inside") >= (min_cosine - 1e-6) * F.col("norm")).select("p", "norm"), "op10-lengths")
+    dots = counts.join(can, "p").join(weights, "term").groupBy("p", "norm", "template", "form").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"))
+    scored = dots.withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= min_cosine)
+    near = scored.select("p", "template", "cosine").join(passage.drop("text"), "p")
     number = version(F.col("template"), r"-([0-9]+(?:\.[0-9]+)*)$")
-    fits = ((F.col("of.said") == "") | (number == "") | (F.col("of.said") == number)) & ((F.col("of.tag") == "") | (F.col("of.tag") == F.lower("template")))
-    best = scored.filter((F.col("cosine") >= min_cosine) & fits).groupBy("id", "line", "of").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "template")).alias("b"))
-    return best.select("id", "line", "of.words", "of.single", F.col("b.template").alias("template"), (-F.col("b.c")).alias("cosine"))
+    fits = ((F.col("said") == "") | (number == "") | (F.col("said") == number)) & ((F.col("tag") == "") | (F.col("tag") == F.lower("template")))
+    best = near.filter(fits).groupBy("p", "id", "words", "single").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "template")).alias("b"))
+    return best.select("id", "words", "single", F.col("b.template").alias("template"), (-F.col("b.c")).alias("cosine"))
 
 
 def ancestors(path: Column) -> Column:
@@ -211,7 +218,9 @@ norms AS (SELECT template, form, sqrt(sum((c * idf) * (c * idf))) AS norm FROM f
 weights AS (SELECT template, form, term, c * idf * idf / norm AS w FROM forms JOIN idf USING (term) JOIN norms USING (template, form)),
 split AS (SELECT doc_id, text, named, string_split(text, chr(10)) AS lines, regexp_split_to_array(text, '{BREAK}') AS blocks FROM files),
 parts AS (
-  SELECT doc_id, list_distinct(list_concat(list_filter(lines, lambda x: regexp_matches(x, '{CUE}')), CASE WHEN named THEN list_append(blocks, text) ELSE list_filter(blocks, lambda x: regexp_matches(x, '{CUE}')) END)) AS parts FROM split
+  SELECT doc_id, list_distinct(list_concat(list_filter(lines, lambda x: regexp_matches(x, '{CUE}')), flatten(list_transform(CASE WHEN named THEN blocks ELSE list_filter(blocks, lambda x: regexp_matches(x, '{CUE}')) END, lambda b: CASE WHEN len(string_split(b, chr(10))) <= {SPAN} THEN [b] ELSE
+      list_transform(list_filter(range(1, len(string_split(b, chr(10))) + 1), lambda i: regexp_matches(string_split(b, chr(10))[i], '{CUE}')), lambda i: array_to_string(string_split(b, chr(10))[greatest(i - {BEFORE}, 1):greatest(i - {BEFORE}, 1) + {SPAN - 1}], chr(10))) END)),
+    CASE WHEN named THEN [text] ELSE [] END)) AS parts FROM split
 ),
 passages AS (
   SELECT *, regexp_replace(regexp_extract(lower(text), '{VERSION}', 1), '\.0$', '') AS said, regexp_replace(regexp_extract(lower(text), '{TAG}', 1), '(-only|-or-later|\+)$', '') AS tag,

@@ -27,9 +27,14 @@ def brute(rows):
         text = text or ""
         named = path is not None and bool(re.match(op.LICENCE_NAME, path.rsplit("/", 1)[-1]))
         cued = lambda parts: [x for x in parts if re.search(op.CUE, x)]
-        blocks = re.split(op.BREAK, text)
+        blocks = [x for x in re.split(op.BREAK, text) if named or re.search(op.CUE, x)]
+        near = []
+        for block in blocks:
+            at = block.split("\n")
+            starts = [max(i - op.BEFORE, 0) for i, x in enumerate(at) if re.search(op.CUE, x)]
+            near += ["\n".join(at[i : i + op.SPAN]) for i in starts] if len(at) > op.SPAN else [block]
         found, singles, most = [], 0, 0
-        for part in dict.fromkeys(cued(text.split("\n")) + ([*blocks, text] if named else cued(blocks))):
+        for part in dict.fromkeys(cued(text.split("\n")) + near + [text] * named):
             v = vec(part)
             number = lambda t, p: re.sub(r"\.0$", "", (re.search(p, t.lower()) or [0, ""])[1])
             said, tag = number(part, op.VERSION), re.sub(r"(-only|-or-later|\+)$", "", (re.search(op.TAG, part.lower()) or [0, ""])[1])
@@ -115,8 +120,9 @@ def test_headers_over_lines_and_tags(spark):
 x = 1
 """
     rows = [(f"s{v}.py", header.format(v)) for v in (2, 3)] + [("mit.c", "// SPDX-License-Identifier: MIT\nint x;"), ("gpl.c", "/* SPDX-License-Identifier: GPL-3.0-or-later */"), ("odd.c", "// SPDX-License-Identifier: Nobody-1.0\nint x;")]
+    rows += [("long.py", "\n".join(f"line {i} of text" for i in range(90)) + "\n" + header.format(2).split("#\n")[0] + "\n".join(f"x{i} = {i}" for i in range(90)))]
     rows += [("apache.py", "\n".join("# " + x for x in op.TEMPLATES["Apache-2.0"][3].split("\n")) + "\n\nimport os"), ("free.txt", op.TEMPLATES["BSD-2-Clause"][2]), ("free3.txt", op.TEMPLATES["BSD-3-Clause"][4])]
-    want = {"s2.py": "GPL-2.0", "s3.py": "GPL-3.0", "mit.c": "MIT", "gpl.c": "GPL-3.0", "odd.c": None, "apache.py": "Apache-2.0", "free.txt": "BSD-2-Clause", "free3.txt": "BSD-3-Clause"}
+    want = {"long.py": "GPL-2.0", "s2.py": "GPL-2.0", "s3.py": "GPL-3.0", "mit.c": "MIT", "gpl.c": "GPL-3.0", "odd.c": None, "apache.py": "Apache-2.0", "free.txt": "BSD-2-Clause", "free3.txt": "BSD-3-Clause"}
     rows += [(f"other/{i}.py", f"the words of a file {i} in this form, and a version of it") for i in range(200)]
     found = op.scan(spark.createDataFrame(rows, "p string, text string"), "p", "p").collect()
     assert {r.p: r.license for r in found if r.p in want and r.license_from != "inherited"} | {r.p: None for r in found if r.license_from == "inherited" and r.p == "odd.c"} == want
