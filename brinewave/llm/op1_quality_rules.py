@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,10 +173,10 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", text
             at = batch.schema.get_field_index(text)
             found = measure(text_bytes(batch.column(at)))
             n = found["n_words"]
-            failed = pa.array((n < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * n))
+            failed = (n < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
             columns = list(batch.columns)
-            columns[at] = pc.if_else(failed, pa.scalar(None, columns[at].type), columns[at])
-            yield pa.RecordBatch.from_arrays([*columns, failed], names=[*names, p + "failed"])
+            columns[at] = columns[at].take(pa.array(np.arange(len(n)), mask=failed))  # null where it fails
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(failed)], names=[*names, p + "failed"])
 
     schema[text].nullable = True
     measured = stash(docs.select(*names).mapInArrow(run, schema.add(p + "failed", "boolean")), "op1-measured")

@@ -78,3 +78,11 @@ def test_oracle(spark, docs):
     for frame in (docs, docs.limit(0)):
         table = frame.select("doc_id", "source", "text").toPandas().astype({"doc_id": "Int64"})
         assert sorted(map(tuple, op.judge(frame).collect()), key=str) == sorted(duck(op.ORACLE_SQL, documents=table), key=str)
+
+
+def test_batches_that_are_cut(spark):
+    """Texts that fill more than one slice of an Arrow batch."""
+    docs = spark.range(9000).coalesce(1).selectExpr("id as doc_id", "if(id % 7 = 0, 'x', array_join(transform(sequence(1, 250), i -> concat('w', id, 'x', i)), ' ')) as text", "concat('h', id % 3) as source")
+    kept = op.apply_rules(docs).collect()
+    assert [r.doc_id for r in kept] == [i for i in range(9000) if i % 7]
+    assert all(r.text.startswith(f"w{r.doc_id}x1 ") and r.source == f"h{r.doc_id % 3}" for r in kept)
