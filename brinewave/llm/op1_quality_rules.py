@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, table, text_bytes, window_hashes, word_hashes
+from .common import in_arrow, small_batches, stash, table, text_bytes, window_hashes, word_hashes
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -106,7 +106,7 @@ def with_measures(docs: DataFrame, text: str = "text", prefix: str = "") -> Data
     schema = docs.select(*rest).schema
     for m in MEASURES:
         schema = schema.add(prefix + m, "long")
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return in_arrow(docs.select(*rest, text), run, schema)
 
 
 def base_failed(prefix: str = "") -> Column:
@@ -179,7 +179,7 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", text
             yield pa.RecordBatch.from_arrays([*columns, pa.array(failed)], names=[*names, p + "failed"])
 
     schema[text].nullable = True
-    measured = stash(docs.select(*names).mapInArrow(run, schema.add(p + "failed", "boolean")), "op1-measured")
+    measured = stash(in_arrow(docs.select(*names), run, schema.add(p + "failed", "boolean")), "op1-measured")
     bad = host_verdicts(measured, host, p + "failed", max_host_rate).filter(~F.col("host_kept")).select(F.col("host").alias(p + "host"))
     good = measured.filter(~F.col(p + "failed"))
     n_bad = bad.count()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, bucket_of, labelled_sample, mix, other_columns, small_batches, table, text_bytes
+from .common import _ODD, bucket_of, in_arrow, labelled_sample, mix, other_columns, small_batches, table, text_bytes
 
 BITS = 19
 #: Labelled rows that the model is fitted on, about.
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", key:
                 names=["h", "label", "at", "x"],
             )
 
-    sent = picked.mapInArrow(run, "h long, label int, at binary, x binary")
+    sent = in_arrow(picked, run, "h long, label int, at binary, x binary")
     rows = sorted(sent.toLocalIterator(), key=lambda r: (r["h"], r["label"], bytes(r["at"]), bytes(r["x"])))
     return ftrl([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(float), r["label"]) for r in rows], bits)
 
@@ -150,7 +150,7 @@ def with_quality(docs: DataFrame, model: Model, text: str = "text", score: str =
             )
 
     schema = docs.select(*rest).schema.add(score, "double").add(predicted, "integer")
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return in_arrow(docs.select(*rest, text), run, schema)
 
 
 def held_out(key: Column) -> Column:

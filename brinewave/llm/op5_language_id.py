@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, other_columns, small_batches, table
+from .common import bucket_of, in_arrow, other_columns, small_batches, table
 
 #: Bounds of what a language is learned from, in pieces of so many characters.
 TRAIN_CHARS, PIECE = 60_000, 512
@@ -315,7 +315,7 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", pred: str =
 
     schema = docs.select(*rest).schema.add(pred, "string").add(score, "double")
     columns = [F.col(c) for c in rest] + ([] if keep_text else [F.col(text)])
-    return docs.select(*columns).mapInArrow(run, schema)
+    return in_arrow(docs.select(*columns), run, schema)
 
 
 def held_out(key: Column) -> Column:

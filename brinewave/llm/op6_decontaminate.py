@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, mix, small_batches, stash, table, text_bytes, window_hashes
+from .common import _ODD, in_arrow, mix, small_batches, stash, table, text_bytes, window_hashes
 
 WIDTH = 8
 MIN_TOKENS = 5
@@ -187,7 +187,7 @@ def template_windows(rows: DataFrame, key: str, text: str, widths: tuple[int, ..
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         only = None if wanted is None else wanted.value
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text"):
             found = windows(text_bytes(batch.column(2)), tokens, widths, item, only)
             rows = pa.array([r for r, *_ in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -195,7 +195,7 @@ def template_windows(rows: DataFrame, key: str, text: str, widths: tuple[int, ..
                 names=["doc_key", "doc_row", "pos", "hash", "slots"],
             )
 
-    return rows.select(F.col(key).cast("long").alias("key"), row_of(text).alias("row"), F.col(text).alias("text")).mapInArrow(run, _SCHEMA)
+    return in_arrow(rows.select(F.col(key).cast("long").alias("key"), row_of(text).alias("row"), F.col(text).alias("text")), run, _SCHEMA)
 
 
 def wanted_hashes(hashes: DataFrame, max_broadcast: int) -> Wanted:

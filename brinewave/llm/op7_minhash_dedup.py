@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, mix, small_batches, stash, stash_counted, table, text_bytes, window_hashes, word_hashes
+from .common import discard, in_arrow, mix, small_batches, stash, stash_counted, table, text_bytes, window_hashes, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -93,7 +93,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
             )
 
     slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "key long, n long, s1 long, s2 long, sketch array<long>")
+    return in_arrow(slim, run, "key long, n long, s1 long, s2 long, sketch array<long>")
 
 
 def signature(items: np.ndarray) -> tuple[int, int]:
@@ -104,7 +104,7 @@ def full_sets(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataF
     """of, items: the whole shingle sets of ``members`` (of, s1, s2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 2 << 20):
+        for batch in small_batches(batches, "text"):
             sets = [shingles(t) for t in text_bytes(batch.column(1))]
             signs = np.array([signature(s) for s in sets], np.uint64).view(np.int64)
             own = (signs[:, 0] == np.asarray(batch.column(2))) & (signs[:, 1] == np.asarray(batch.column(3)))
@@ -112,7 +112,7 @@ def full_sets(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataF
             yield out.filter(pa.array(own))
 
     slim = docs.select(F.col(key).cast("long").alias("of"), F.col(text).alias("text"))
-    return semi(slim, members, "of", "inner").select("of", "text", "s1", "s2").mapInArrow(run, "of long, items array<long>")
+    return in_arrow(semi(slim, members, "of", "inner").select("of", "text", "s1", "s2"), run, "of long, items array<long>")
 
 
 def semi(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, small_batches, stash, table, text_bytes
+from .common import in_arrow, new_folder, small_batches, stash, table, text_bytes
 
 #: A frame is closed at this size of records, a bundle at that of frames.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 128 << 20
@@ -216,7 +216,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, frame_byte
         if bundle:
             bundle.close()
 
-    return stash(with_references(pages, min_bytes).mapInArrow(run, INDEX), "op8-index")
+    return stash(in_arrow(with_references(pages, min_bytes), run, INDEX), "op8-index")
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -245,7 +245,7 @@ def read_archives(index: DataFrame, payload: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 5 + payload])
 
     located = index.select("bundle", "frame", "offset", "length").repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
-    return located.mapInArrow(run, READ + (", payload binary" if payload else ""))
+    return in_arrow(located, run, READ + (", payload binary" if payload else ""))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

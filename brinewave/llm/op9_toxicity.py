@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, discard, labelled_sample, mix, other_columns, small_batches, stash, table, text_bytes
+from .common import bucket_of, discard, in_arrow, labelled_sample, mix, other_columns, small_batches, stash, table, text_bytes
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 6, 8, 8
@@ -429,7 +429,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", key: s
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(half.astype(np.int32)), pa.array(at), pa.array(found[half, 0, at]), pa.array(found[half, 1, at])], names=["kind", "half", "at", "n", "bad"])
 
     # a row for each half and bucket at most
-    sums = picked.mapInArrow(count, "kind int, half int, at long, n long, bad long").groupBy("kind", "half", "at").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).toArrow()
+    sums = in_arrow(picked, count, "kind int, half int, at long, n long, bad long").groupBy("kind", "half", "at").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).toArrow()
     kind, half, at, n, bad = (np.asarray(sums.column(c)) for c in ("kind", "half", "at", "n", "bad"))
     counts = Counts()
     for k, table_ in enumerate((counts.docs[:, :, None], counts.word, counts.run)):
@@ -443,7 +443,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", key: s
             found = [picked_windows(t, shared.value[h & 1], h) for h, t in zip(hashes, text_bytes(batch.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[b" ".join(w) for w in x] for x in found], pa.list_(pa.binary()))], names=["h", "label", "windows"])
 
-    rows = sorted((r["h"], r["label"], [bytes(w) for w in r["windows"]]) for r in picked.mapInArrow(pick, "h long, label int, windows array<binary>").toLocalIterator())
+    rows = sorted((r["h"], r["label"], [bytes(w) for w in r["windows"]]) for r in in_arrow(picked, pick, "h long, label int, windows array<binary>").toLocalIterator())
     discard(picked)
     # an empty word is one of punctuation; a window without a word is empty
     return learn([(h & 1, y, [w.split(b" ") if w else [] for w in windows]) for h, y, windows in rows], counts)
@@ -464,7 +464,7 @@ def with_toxicity(docs: DataFrame, model: Model, text: str = "text", score: str
             )
 
     schema = docs.select(*rest).schema.add(score, "double").add(predicted, "integer")
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return in_arrow(docs.select(*rest, text), run, schema)
 
 
 def held_out(key: Column) -> Column:
