@@ -25,9 +25,11 @@ def norm(v: Column, p: int) -> Column:
 
 
 def normalize(df: DataFrame, p: int, vector: str = "features") -> DataFrame:
-    """Rows over their L1 or L2 norm; zero rows stay."""
+    """Rows over their L1 or L2 norm; zero rows stay. The norm is bound once for
+    each row, as it would be worked out for every element otherwise."""
     v = F.col(vector)
-    return df.withColumn(vector, F.when(norm(v, p) > 0, F.transform(v, lambda x: x / norm(v, p))).otherwise(v))
+    scaled = F.transform(F.array(norm(v, p)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+    return df.withColumn(vector, F.element_at(scaled, 1))
 
 
 def moments(df: DataFrame, vector: str = "features") -> DataFrame:
@@ -178,9 +180,10 @@ def members(df: DataFrame, label: str, name: str) -> DataFrame:
     return df.groupBy(F.col(label).alias("cluster")).agg(F.array_sort(F.collect_list(name)).alias("members"))
 
 
-def sample_members(df: DataFrame, label: str, name: str, n: int, seed: int = 104) -> DataFrame:
-    """Up to n members of each cluster, without replacement, the same each time."""
-    turn = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(name), F.lit(seed)), name))
+def sample_members(df: DataFrame, label: str, name: str, n: int, seed: int = 104, draw: Column | None = None) -> DataFrame:
+    """Up to n members of each cluster, without replacement, the same each time;
+    in the order of ``draw``, a hash of the name unless given."""
+    turn = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(name), F.lit(seed)) if draw is None else draw, name))
     return df.withColumn("__turn", turn).filter(F.col("__turn") <= n).drop("__turn")
 
 

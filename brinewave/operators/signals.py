@@ -48,10 +48,12 @@ def pad_right(signals: DataFrame, length: int) -> DataFrame:
 
 def decimate_stride(signals: DataFrame, max_pts: int, skip_secs: float = 0.0) -> DataFrame:
     """recording_id, i, t, amplitude: every stride-th sample after the head;
-    the stride is of the whole length, so a few more than ``max_pts`` may come."""
+    the stride is of the whole length, so a few more than ``max_pts`` may come.
+    A signal without a sample after the head is one zero."""
     s, stride = at_second(skip_secs), F.greatest(F.lit(1), (n_samples() / max_pts).cast("int"))
     rest = F.slice(x(), F.least(s, n_samples()) + 1, F.greatest(n_samples() - s, F.lit(0)))
-    cut = signals.select("recording_id", "sample_rate", rest.alias("samples"), stride.alias("stride")).filter(n_samples() > 0)
+    rest = F.when(n_samples() > s, rest).otherwise(F.array(F.lit(0.0)))
+    cut = signals.select("recording_id", "sample_rate", rest.alias("samples"), stride.alias("stride"))
     picked = F.transform(F.sequence(F.lit(0), n_samples() - 1, F.col("stride")), lambda k: F.element_at(x(), k + 1))
     return cut.select("recording_id", "sample_rate", "stride", F.posexplode(picked).alias("i", "amplitude")).select(
         "recording_id", "i", (F.col("i") * F.col("stride") / F.col("sample_rate").cast("double")).alias("t"), "amplitude"

@@ -83,6 +83,12 @@ def resampled(signals: DataFrame, new_rate: int, rate: int) -> DataFrame:
     return signals.withColumn("samples", convert("samples")).withColumn("sample_rate", F.lit(new_rate))
 
 
+def between_seconds(frames: DataFrame, c: FeatureConfig, start: float, stop: float) -> DataFrame:
+    """The frames (of any operator here) whose time lies in [start, stop)."""
+    t = F.col("frame") * F.lit(c.hop_length / c.rate)
+    return frames.filter((t >= start) & (t < stop))
+
+
 def feature_vectors(signals: DataFrame, c: FeatureConfig) -> DataFrame:
     """recording_id, features: mean, then sample deviation of each band over time.
 

@@ -6,7 +6,7 @@ feature vectors, ``events`` for signals of any length, one for each user.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FeatureConfig
@@ -18,6 +18,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Small spectra that SQL can still express.
 SMALL = FeatureConfig(sample_rate=64, n_fft=16, win_length=16, hop_length=8, n_mels=8)
+LINEAR = FeatureConfig(sample_rate=64, n_fft=16, win_length=16, hop_length=8, n_mels=None)
 RATE, CROP = 64, 5 / 64
 LEVEL, SHARE = 0.3, 5e-6
 
@@ -75,7 +76,7 @@ def stats_out(df: DataFrame) -> DataFrame:
 @query(f"WITH {SIG}, cut AS (SELECT recording_id, i, x FROM sig WHERE i >= 5)" + _STATS.format(rate=64, order="i", source="cut"))
 def signal_stats(spark, d):
     """Head cropped, then duration, peak, mean, RMS and zero crossings; loudest first."""
-    return stats_out(stats.ranked(stats.signal_stats(sig.crop_head(signals(spark, d), CROP))))
+    return stats_out(stats.ranked(stats.signal_stats(signals(spark, d), CROP)))
 
 
 @query(
@@ -285,10 +286,10 @@ def power_spectrogram(spark, d):
     return spectrum_out(spectral.power_spectrogram(signals(spark, d), SMALL), "power", 6)
 
 
-@query(f"WITH {_stft()} SELECT recording_id, CAST(frame AS INT) AS frame, CAST(bin AS INT) AS bin, round(10 * log10(greatest(p / 1e-12, 1e-10)), 4) + 0.0 AS db FROM spec WHERE p > 1e-12")
+@query(f"WITH {_stft()} SELECT recording_id, CAST(frame AS INT) AS frame, CAST(bin AS INT) AS bin, round(10 * log10(greatest(p / 1e-12, 1e-10)), 4) + 0.0 AS db FROM spec")
 def linear_db(spark, d):
-    """Unfiltered decibels; bins at the level of rounding noise are left out."""
-    return spectrum_out(spectral.decibels(signals(spark, d), FeatureConfig(sample_rate=64, n_fft=16, win_length=16, hop_length=8, n_mels=None)).filter("value > 0"), "db")
+    """Decibels of the bins themselves, down to the floor."""
+    return spectrum_out(spectral.decibels(signals(spark, d), LINEAR), "db")
 
 
 _LOGMEL = f"""WITH {_stft()}, {_mel(64, 16, 8)}, mels AS (SELECT recording_id, CAST(frame AS INT) AS frame, mel AS bin, sum(p / {{ref}} * w) AS p FROM spec JOIN fb ON spec.bin = fb.bin GROUP BY ALL),
@@ -300,10 +301,10 @@ def log_mel(spark, d):
     return spectrum_out(spectral.decibels(signals(spark, d), SMALL), "db")
 
 
-@query(_LOGMEL.format(ref="1e-12") + " SELECT recording_id, frame, round(db, 4) + 0.0 AS db FROM db WHERE bin = 0 AND recording_id < 20")
+@query(_LOGMEL.format(ref="1e-12") + " SELECT recording_id, frame, round(db, 4) + 0.0 AS db FROM db WHERE bin = 0")
 def single_band(spark, d):
-    """The first band of the first recordings over time."""
-    found = spectral.decibels(signals(spark, d).filter("recording_id < 20"), SMALL).filter("bin = 0")
+    """The first band over time."""
+    found = spectral.decibels(signals(spark, d), SMALL).filter("bin = 0")
     return found.select("recording_id", "frame", r("value", 4).alias("db"))
 
 
@@ -313,9 +314,46 @@ def mel_top_db(spark, d):
     return spectrum_out(spectral.top_decibels(signals(spark, d), FeatureConfig(sample_rate=64, n_fft=16, win_length=16, hop_length=8, n_mels=8, reference=1.0), 20.0), "db")
 
 
-@query(f"WITH {_stft(False)} SELECT recording_id, CAST(frame AS INT) AS frame, CAST(bin AS INT) AS bin, round(20 * log10(greatest(sqrt(p) / 8, 1e-10)), 4) + 0.0 AS db FROM spec WHERE sqrt(p) / 8 > 1e-6")
+@query(f"WITH {_stft(False)} SELECT recording_id, CAST(frame AS INT) AS frame, CAST(bin AS INT) AS bin, round(20 * log10(greatest(sqrt(p) / 8, 1e-10)), 4) + 0.0 AS db FROM spec")
 def specgram_magnitude(spark, d):
-    return spectrum_out(spectral.magnitude_spectrum(signals(spark, d), 16, 8).filter("value > -120"), "db")
+    return spectrum_out(spectral.magnitude_spectrum(signals(spark, d), 16, 8), "db")
+
+
+@query(_LOGMEL.format(ref="1e-12") + " SELECT recording_id, frame, bin, round(db, 4) + 0.0 AS db FROM db WHERE frame * 8 / 64.0::DOUBLE >= 0.25 AND frame * 8 / 64.0::DOUBLE < 0.75")
+def frames_between(spark, d):
+    """Log-mel frames by time."""
+    return spectrum_out(spectral.between_seconds(spectral.decibels(signals(spark, d), SMALL), SMALL, 0.25, 0.75), "db")
+
+
+@query(
+    f"WITH {_stft()}, {_mel(64, 16, 8, '2 / (z.f - a.f)')} SELECT recording_id, CAST(frame AS INT) AS frame, mel AS bin, round(10 * log10(greatest(sum(p * w), 1e-10)), 4) + 0.0 AS db FROM spec JOIN fb ON spec.bin = fb.bin GROUP BY ALL"
+)
+def mel_slaney(spark, d):
+    """Log-mel by filters of unit area, over no reference."""
+    c = FeatureConfig(sample_rate=64, n_fft=16, win_length=16, hop_length=8, n_mels=8, reference=1.0, slaney_norm=True)
+    return spectrum_out(spectral.decibels(signals(spark, d), c), "db")
+
+
+_PCM = "greatest(least(round(x * 32768), 32767), -32768) / 32768"
+
+
+@query(f"WITH {SIG} SELECT CAST(recording_id AS VARCHAR) || '.wav' AS recording_id, i, {_PCM} + 0.0 AS x FROM sig")
+def wav_decode(spark, d):
+    """Signals written as 16-bit files and read again."""
+    found = audio.read_recordings(audio.as_files(audio.check_signals(signals(spark, d))))
+    return found.select("recording_id", F.posexplode("samples").alias("i", "x")).select("recording_id", F.col("i").cast("long").alias("i"), (F.col("x") + F.lit(0.0)).alias("x"))
+
+
+@query(f"WITH {SIG} SELECT CAST(recording_id AS VARCHAR) || '.wav' AS recording_id, i - 16 AS i, {_PCM} + 0.0 AS x FROM sig WHERE i >= 16 AND i < 48")
+def wav_decode_part(spark, d):
+    """The same without the head, and no longer than half a second."""
+    found = audio.read_recordings(audio.as_files(signals(spark, d)), skip_secs=0.25, max_secs=0.5)
+    return found.select("recording_id", F.posexplode("samples").alias("i", "x")).select("recording_id", F.col("i").cast("long").alias("i"), (F.col("x") + F.lit(0.0)).alias("x"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) || '.wav' AS path, 64 AS sample_rate, CAST(len(embedding) AS BIGINT) AS num_frames, 1 AS channels, 16 AS bits FROM embeddings")
+def wav_probe(spark, d):
+    return audio.probe(audio.as_files(signals(spark, d))).filter("error is null").drop("error")
 
 
 @query(
@@ -427,8 +465,16 @@ def cluster_count(spark, d):
 def cluster_sample(spark, d):
     """Ten of each cluster by an arithmetic hash that any SQL has."""
     h = F.pmod(F.col("vec_id") * F.lit(2654435761), F.lit(4294967296))
-    turn = F.row_number().over(Window.partitionBy("label").orderBy(h, "vec_id"))
-    return vectors(spark, d).withColumn("turn", turn).filter("turn <= 10").select("label", "vec_id")
+    return cluster.sample_members(vectors(spark, d), "label", "vec_id", 10, draw=h).select("label", "vec_id")
+
+
+@query(
+    "SELECT label, vec_id, regexp_extract(url, '([^\\\\/]+)$', 1) AS base_name FROM (SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY (vec_id * 2654435761) % 4294967296, vec_id) <= 10) JOIN pages ON page_id = vec_id"
+)
+def sample_names(spark, d):
+    """Names of the sampled members."""
+    sampled = cluster_sample(spark, d)
+    return sampled.join(read(spark, d, "pages"), F.col("vec_id") == F.col("page_id")).select("label", "vec_id", audio.base_name(F.col("url")).alias("base_name"))
 
 
 @query()
@@ -466,6 +512,27 @@ def silhouette_cosine(spark, d):
     return found.select("vec_id", r("silhouette").alias("silhouette"))
 
 
+@query()
+def recording_clusters(spark, d):
+    """From signals to a picture of their clusters: exact decimation, log-mel
+    features, L1 norm, the best of ten k-means starts, the silhouette of those
+    labels, and two principal components."""
+    features = spectral.feature_vectors(sig.decimate_exact(signals(spark, d), 48), SMALL)
+    assigned, _, _ = cluster.kmeans(cluster.normalize(features, 1), k=4, restarts=10)
+    out, _, _ = cluster.pca(assigned, 2)
+    shape = cluster.silhouette_cosine(assigned, "recording_id", "cluster")
+    return out.join(shape, "recording_id").select("recording_id", "cluster", "dist2", "silhouette", F.col("pcs")[0].alias("pc1"), F.col("pcs")[1].alias("pc2"))
+
+
+@query(
+    f"WITH {VEC}, unit AS (SELECT vec_id, k, x / sum(abs(x)) OVER (PARTITION BY vec_id) AS x FROM vec), mid AS (SELECT vec_id, k, x - avg(x) OVER (PARTITION BY k) AS x FROM unit) SELECT round(sum(x * x), 9) + 0.0 AS spread FROM mid"
+)
+def pca_spread(spark, d):
+    """All principal components keep the squared distance from the mean."""
+    out, _, _ = cluster.pca(cluster.normalize(vectors(spark, d), 1), 64)
+    return out.agg(r(F.sum(F.aggregate("pcs", F.lit(0.0), lambda a, x: a + x * x)), 9).alias("spread"))
+
+
 @query()
 def pca2(spark, d):
     out, _, _ = cluster.pca(cluster.normalize(vectors(spark, d), 1), 2)

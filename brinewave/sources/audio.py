@@ -31,9 +31,39 @@ def device_of(name: Column) -> Column:
     return F.regexp_extract(name, r"^([^.]+)\.\d{12}\.wav$", 1)
 
 
-def wav_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, content of every WAV file below ``root``; order by path for an order."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(root).select("path", "length", "content")
+def wav_files(spark: SparkSession, root: str, name: str = "*.wav") -> DataFrame:
+    """path, length, content of every WAV file below ``root``, or of the one called
+    ``name``, as no other file is read then; order by path for an order."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root).select("path", "length", "content")
+
+
+def wav_bytes(x: np.ndarray, rate: int) -> bytes:
+    """A mono file of 16 bits; samples beyond [-1, 1) are clipped."""
+    scaled = np.asarray(x, float) * 32768
+    pcm = np.clip(np.trunc(scaled + np.copysign(0.5, scaled)), -32768, 32767).astype("<i2").tobytes()
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", len(pcm))
+    return head + pcm
+
+
+def as_files(signals: DataFrame) -> DataFrame:
+    """path, length, content: signals as the WAV files they would be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [wav_bytes(x, rate) for rate, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in content], pa.int64()), pa.array(content, pa.binary())], names=["path", "length", "content"])
+
+    rows = signals.select(F.concat(F.col("recording_id").cast("string"), F.lit(".wav")).alias("path"), "sample_rate", F.coalesce("samples", F.array().cast("array<double>")).alias("samples"))
+    return rows.mapInArrow(run, "path string, length long, content binary")
+
+
+def check_signals(signals: DataFrame) -> DataFrame:
+    """The frame itself; an error where it isn't one of signals."""
+    kinds = dict(signals.dtypes)
+    wrong = [c for c, want in (("recording_id", None), ("sample_rate", "int"), ("samples", "array<double>")) if c not in kinds or want not in (None, kinds[c])]
+    if wrong:
+        raise ValueError(f"not a signals frame: {', '.join(wrong)} missing or of another type")
+    return signals
 
 
 def riff(content: bytes) -> tuple[int, int, int, int, int, int]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,24 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Written to ``path``; to replace a table that is being read, write to
-    another path first."""
-    df.write.csv(path, header=True, mode="overwrite")
+    """Replace the table at ``path``, which ``df`` may itself read: written beside
+    it first, and moved when it is whole."""
+    _swap(df.sparkSession, path, lambda beside: df.write.csv(beside, header=True))
+
+
+def write_features(df: DataFrame, path: str) -> None:
+    """Replace the feature table at ``path`` (Parquet) in the same way."""
+    _swap(df.sparkSession, path, df.write.parquet)
+
+
+def _swap(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    write(beside)
+    new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path))
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{path} could not be replaced; the new table is at {beside}")
 
 
 def clean_points(df: DataFrame, column: str = "max_points") -> DataFrame:
