@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FeatureConfig
@@ -54,6 +54,11 @@ def kilohertz(freq: float) -> str:
     return f"{freq / 1000:.1f}"
 
 
+def kilohertz_of(freq: Column) -> Column:
+    """The same label as a column."""
+    return F.format_string("%.1f", freq / 1000)
+
+
 def scatter(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """pc1, pc2, cluster and kind, of points and centroids together."""
     side = lambda df, kind: df.select("pc1", "pc2", "cluster", F.lit(kind).alias("kind"))

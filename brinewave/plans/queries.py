@@ -373,7 +373,14 @@ def feature_vector_full(spark, d):
     return spectral.feature_vectors(sig.decimate_exact(signals(spark, d), 1000), FeatureConfig())
 
 
-@query()
+#: Half the rate: a Hann-windowed sinc of six zero crossings a side, cut off at 0.99.
+_TAP = "greatest(least((i - 2 * j) / 2.0::DOUBLE * 0.99, 6), -6)"
+
+
+@query(
+    f"""WITH {SIG}, met AS (SELECT recording_id, j, x, {_TAP} AS a FROM sig JOIN range(40) t(j) ON 2 * j < n AND i - 2 * j BETWEEN -13 AND 14)
+    SELECT recording_id, j AS i, round(sum(x * CASE WHEN a = 0 THEN 1 ELSE sin(pi() * a) / (pi() * a) END * pow(cos(pi() * a / 12), 2) * 0.99 / 2), 6) + 0.0 AS x FROM met GROUP BY ALL"""
+)
 def resample_half(spark, d):
     return samples_out(spectral.resampled(signals(spark, d), 32, 64))
 
@@ -570,14 +577,19 @@ def waveform_grid(spark, d):
     return plotdata.first_waveforms(signals(spark, d), 2, 3, 20).select("recording_id", r("t").alias("t"), r("amplitude").alias("amplitude"))
 
 
-@query()
+@query(
+    f"""WITH {_stft(False)} SELECT recording_id, CAST(frame AS INT) AS frame, CAST(bin AS INT) AS bin, round(20 * log10(greatest(sqrt(p) / 8, 1e-10)), 4) + 0.0 AS db, (frame * 8 + 8) / 64.0::DOUBLE AS t, bin * 4.0::DOUBLE AS freq
+    FROM spec WHERE recording_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 6)"""
+)
 def specgram_grid(spark, d):
-    return plotdata.first_specgrams(signals(spark, d), 2, 3, SMALL)
+    found = plotdata.first_specgrams(signals(spark, d), 2, 3, SMALL)
+    return found.select("recording_id", "frame", "bin", r("value", 4).alias("db"), "t", "freq")
 
 
-@query()
+@query(_LOGMEL.format(ref="1e-12") + " SELECT recording_id, frame, frame * 8 / 64.0::DOUBLE AS t, bin, round(db, 4) + 0.0 AS db, round(f, 6) + 0.0 AS center_freq FROM db JOIN edges ON k = bin + 1")
 def feature_map(spark, d):
-    return plotdata.feature_map(signals(spark, d), SMALL, "freqs")
+    found = plotdata.feature_map(signals(spark, d), SMALL, "freqs")
+    return found.select("recording_id", "frame", "t", "bin", r("db", 4).alias("db"), r("center_freq").alias("center_freq"))
 
 
 @query()

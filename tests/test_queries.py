@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -25,7 +29,7 @@ def test_query_equals_sql(spark, name):
 
 
 @pytest.mark.skipif(not TABLES.exists(), reason="no tables")
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL) - {"tsne", "kmeans", "cluster_scatter"}))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
 def test_query_runs(spark, name):
     assert plans.QUERIES[name](spark, str(TABLES)).count() > 0
 
@@ -52,9 +56,23 @@ def test_iterations_and_restarts_of_the_reference(spark, monkeypatch):
     assert seen["iterations"] == 2000 and seen["restarts"] == 10
 
 
-def test_entry_without_the_llm_part():
+def test_entry_without_the_llm_part(tmp_path):
     """The entry module imports without that folder, and this package never needs it."""
     root = Path(__file__).resolve().parents[1]
     for p in (root / "brinewave").rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm" not in p.read_text()
+    shutil.copytree(root / "brinewave", tmp_path / "brinewave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()) > 50, any(n.startswith('op') and n[2].isdigit() for n in e.queries()), 'pipeline' in e.oracle_sql())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.split() == ["True", "False", "False"]
+
+
+def test_missing_library_of_the_llm_part_is_not_hidden(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "brinewave", tmp_path / "brinewave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_library")
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, check=False)
+    assert run.returncode and "no_such_library" in run.stderr

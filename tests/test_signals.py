@@ -214,3 +214,52 @@ def test_upgma_and_embedding(spark):
     assert gap > 2 * max(y[:25].std(), y[25:].std()) or gap > y[:25].std() + y[25:].std()
     with pytest.raises(ValueError):
         cluster.embed(x[:10], perplexity=30)
+
+
+def test_signals_no_longer_than_the_head(spark):
+    f = frame(spark, {"a": range(12), "b": [5, 6, 7], "e": []})
+    rows = {(r.recording_id, r.i, r.t, r.amplitude) for r in sig.decimate_stride(f, 5, 1.0).collect()}
+    assert rows == {("a", 0, 0.0, 10.0), ("b", 0, 0.0, 0.0), ("e", 0, 0.0, 0.0)}
+    got = {r.recording_id: tuple(r)[1:] for r in stats.signal_stats(f, 1.0).collect()}
+    assert got["b"] == got["e"] == (0.0,) * 5 and got["a"][:3] == (0.2, 11.0, 10.5)
+    nulls = spark.createDataFrame([("n", 10, None), ("x", 10, [1.0, -1.0])], "recording_id string, sample_rate int, samples array<double>")
+    assert {r.recording_id: r.peak_abs for r in stats.signal_stats(nulls).collect()} == {"n": 0.0, "x": 1.0}
+
+
+def test_describe_equals_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    columns = {"skewed": rng.lognormal(0, 3, 1000), "ties": rng.integers(0, 4, 1000).astype(float), "one": np.full(1000, 7.0), "far": np.append(rng.normal(size=999), 1e300)}
+    rows = [tuple(float(v[i]) for v in columns.values()) for i in range(1000)] + [(None, float("nan"), None, None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*columns, ]) ).withColumn("empty", F.lit(None).cast("double"))
+    for bins, most in ((4096, 100_000), (4, 3)):  # the second narrows several times
+        found = stats.order_statistics
+        monkeypatch.setattr(stats, "order_statistics", lambda tall, wanted, b=bins, m=most: found(tall, wanted, b, m))
+        got = {r.column_name: r for r in stats.describe(df, [*columns, "empty"]).collect()}
+        monkeypatch.setattr(stats, "order_statistics", found)
+        for c, v in columns.items():
+            assert got[c]["count"] == 1000 and np.allclose([got[c].p25, got[c].p50, got[c].p75], np.quantile(v, [0.25, 0.5, 0.75])), (c, bins)
+            assert got[c]["min"] == v.min() and got[c]["max"] == v.max()
+        assert got["empty"]["count"] == 0 and got["empty"].p50 is None
+
+
+def test_tables_are_replaced_while_they_are_read(spark, tmp_path):
+    path = f"file://{tmp_path}/stats.csv"
+    tables.write_csv(spark.createDataFrame([("a", 1)], "k string, v int"), path)
+    tables.write_csv(tables.append_rows(tables.read_csv(spark, path, "k string, v int"), spark.createDataFrame([("b", 2)], "k string, v int")), path)
+    assert sorted(map(tuple, tables.read_csv(spark, path, "k string, v int").collect())) == [("a", 1), ("b", 2)]
+    folder = f"file://{tmp_path}/features"
+    for n in (1, 2):
+        tables.write_features(spark.createDataFrame([(f"r{n}", [1.0 * n])], "recording_id string, features array<double>"), folder)
+    assert [tuple(r) for r in spark.read.parquet(folder).collect()] == [("r2", [2.0])]
+
+
+def test_one_file_and_the_schema_of_signals(spark, tmp_path):
+    for n in (1, 2):
+        (tmp_path / f"dev{n}.wav").write_bytes(audio.wav_bytes(np.arange(4 * n) / 32768, 8000))
+    one = audio.read_recordings(audio.wav_files(spark, str(tmp_path), "dev2.wav")).collect()
+    assert [(r.recording_id, len(r.samples)) for r in one] == [("dev2.wav", 8)]
+    f = frame(spark, {"a": [1, 2]})
+    assert audio.check_signals(f) is f
+    with pytest.raises(ValueError, match="samples"):
+        audio.check_signals(f.withColumn("samples", F.lit(1)))
+    assert f.select(plotdata.kilohertz_of(F.lit(1234.0)).alias("k")).first().k == plotdata.kilohertz(1234.0) == "1.2"
