@@ -16,7 +16,8 @@
    that bounds the share more and more tightly, and in the end exactly. The
    lists of the longer sketches take the place of the long ones.
 4. Lists are worked off in rounds of hubs: a list's members are compared with
-   its first member, then its next 7, 56, ...; pairs that are in one component
+   that of the lowest id, then with about 7, 56, ... others by a hash of their
+   ids, so that no list is ever put in order; pairs that are in one component
    by then are left out, as are those whose places in the list leave too few
    values for two sets of their sizes to share, and a list that lies within one
    component is finished. A group of thousands of copies is so linked through a
@@ -40,7 +41,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, in_arrow, mix, small_batches, stash, stash_counted, table, text_bytes, window_hashes, word_hashes
@@ -147,10 +148,10 @@ def inverted_lists(reps: DataFrame, k: int, percent: int = PERCENT) -> DataFrame
 
     reps: rep, n, sketch (of k values), a row per class.
     """
-    entries = reps.select("rep", F.explode("sketch").alias("v")).repartition("v")
-    # lowest and highest tell whether a value is in two sketches at least; as
-    # they read all columns, one exchange serves the aggregate and the join
-    common = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("v", "c")
+    entries = reps.select("rep", F.explode("sketch").alias("v"))
+    # counts are combined before their shuffle, and a value that many sketches
+    # retain is a skewed key of a join, which is split at run time
+    common = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     by_rep = entries.join(common, "v").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("found"))  # k at most
     kept = F.least("n", F.lit(k))
     least = F.ceil(F.col("n") * percent / F.lit(100.0))
@@ -164,8 +165,8 @@ def inverted_lists(reps: DataFrame, k: int, percent: int = PERCENT) -> DataFrame
 
 
 def with_sizes(lists: DataFrame) -> DataFrame:
-    """Lists of two members or more, with their size."""
-    sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    """Lists of two members or more, with their size and lowest member."""
+    sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).filter("size > 1")
     return lists.join(sizes, "v")
 
 
@@ -230,17 +231,20 @@ def representative_components(docs: DataFrame, reps: DataFrame, key: str, text:
 
     both = all_lists(reps, sets_of, levels)
     sketch, sets = held["sketch"], held["sets"]
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("k", "v").orderBy("rep")))
+    # the lowest member comes first, as components form around it, and the others
+    # lie evenly between the places 2 and size + 1
+    place = F.shiftrightunsigned(F.xxhash64("rep", F.lit(7)), 33) / F.lit(float(1 << 31)) * (F.col("size") - 1) + 2
+    ranked = both.withColumn("rank", F.when(F.col("rep") == F.col("first"), F.lit(1.0)).otherwise(place)).drop("first")
     named, left, _ = stash_counted(ranked.withColumn("label", F.col("rep")), "op7-lists")
     merges: list[DataFrame] = []  # of each round: label, and the label of the component that it is now in
     low, high = 1, 2
     while left:
         hubs = named.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("k", "v", F.col("rep").alias("a"), F.col("rank").alias("at"), F.col("label").alias("la"), F.col("n").alias("n_hub"), F.col("left").alias("left_hub"))
         fits = could_share(F.col("k"), F.least("left", "left_hub"), F.col("n"), F.col("n_hub"))
-        met = named.join(hubs, ["k", "v"]).filter((F.col("rank") > F.col("at")) & (F.col("la") != F.col("label")) & fits)
+        met = named.join(hubs, ["k", "v"]).filter(((F.col("rank") > F.col("at")) | ((F.col("rank") == F.col("at")) & (F.col("rep") > F.col("a")))) & (F.col("la") != F.col("label")) & fits)
         pairs = met.select("a", F.col("rep").alias("b"), "la", F.col("label").alias("lb")).distinct()
         found, n, _ = stash_counted(links(pairs, sketch, sets, levels[0]), "op7-links")
-        rows = named.filter(F.col("size") > high)
+        rows = named.filter(F.col("size") >= high)
         if n:
             # only labels are merged: what is one component by now is one node
             merges.append(stash(components(found, "la", "lb"), "op7-merges"))
