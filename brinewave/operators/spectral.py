@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import FeatureConfig
 from ..functions import dsp
+from ..sources import audio
 
 
 def mel_filterbank(spark: SparkSession, c: FeatureConfig) -> DataFrame:
@@ -112,3 +113,16 @@ def feature_vectors(signals: DataFrame, c: FeatureConfig) -> DataFrame:
 
     schema = StructType().add("recording_id", signals.schema["recording_id"].dataType).add("features", ArrayType(DoubleType()))
     return signals.select("recording_id", "samples").mapInArrow(run, schema)
+
+
+def file_features(files: DataFrame, c: FeatureConfig, skip_secs: float = 0.0, max_secs: float | None = None) -> DataFrame:
+    """:func:`feature_vectors` of WAV files, in the stage that decodes them."""
+    w = None if c.n_mels is None else dsp.mel_filters(c.n_fft, c.n_mels, c.rate, c.f_min, c.top, c.slaney_norm)
+    width = 2 * (c.n_mels or c.n_fft // 2 + 1)
+
+    def fn(rate: int, x: np.ndarray) -> dict[str, object]:
+        x = x if len(x) or not skip_secs else np.zeros(1)
+        found = dsp.pooled(dsp.features(x, c, w)) if len(x) else np.full(width, np.nan)
+        return {"features": [None if v != v else v for v in found.tolist()]}
+
+    return audio.map_recordings(files, fn, "features array<double>", skip_secs, max_secs)

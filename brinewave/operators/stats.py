@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from ..sources import audio
+
 
 def x() -> Column:
     return F.col("samples")
@@ -67,6 +69,15 @@ def signal_stats(signals: DataFrame, skip_secs: float = 0.0) -> DataFrame:
     return signals.select("recording_id", "sample_rate", rest.alias("samples")).mapInArrow(run, schema)
 
 
+def file_stats(files: DataFrame, skip_secs: float = 0.0) -> DataFrame:
+    """The same of WAV files, in the stage that decodes them."""
+
+    def fn(rate: int, x: np.ndarray) -> dict[str, object]:
+        return dict(zip(STATS, folded(x, np.array([len(x)]), np.array([float(rate)]))[:, 0].tolist(), strict=True))
+
+    return audio.map_recordings(files, fn, ", ".join(f"{name} double" for name in STATS), skip_secs)
+
+
 def long_stats(samples: DataFrame, order: list[str], hertz: float, center: bool = False) -> DataFrame:
     """The same from a row per sample (recording_id, amplitude, order columns);
     one exchange of the samples, by recording."""

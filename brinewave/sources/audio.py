@@ -7,12 +7,14 @@ channel); ragged lengths stay ragged.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 HEADER = "path string, sample_rate int, num_frames long, channels int, bits int, error string"
 
@@ -68,11 +70,12 @@ def check_signals(signals: DataFrame) -> DataFrame:
 
 def riff(content: bytes) -> tuple[int, int, int, int, int, int]:
     """rate, channels, bits, format (1 PCM, 3 float), start and length of the samples."""
+    content = memoryview(content)
     if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         raise ValueError("not a RIFF WAVE file")
     at, found = 12, None
     while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
+        name, size = bytes(content[at : at + 4]), struct.unpack_from("<I", content, at + 4)[0]
         if name == b"fmt ":
             kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", content, at + 8)
             if kind == 0xFFFE and size >= 26:
@@ -92,7 +95,7 @@ def decode(content: bytes, skip_secs: float = 0.0, max_secs: float | None = None
     width = bits // 8 * channels
     first = int(skip_secs * rate)
     last = size // width if max_secs is None else min(size // width, first + int(max_secs * rate))
-    raw = content[start + first * width : start + max(first, last) * width]
+    raw = memoryview(content)[start + first * width : start + max(first, last) * width]
     if kind == 3:
         x = np.frombuffer(raw, "<f4" if bits == 32 else "<f8").astype(float)
     elif bits == 8:
@@ -148,6 +151,27 @@ def read_recordings(files: DataFrame, skip_secs: float = 0.0, max_secs: float |
     return files.select("path", "content").mapInArrow(run, "recording_id string, sample_rate int, samples array<double>, path string")
 
 
+def map_recordings(files: DataFrame, fn: Callable[[int, np.ndarray], dict[str, object]], schema: str, skip_secs: float = 0.0, max_secs: float | None = None, channel: int = 0) -> DataFrame:
+    """recording_id and what ``fn`` makes of (rate, samples) of each file, in the
+    stage that decodes it: samples never leave the Python worker. ``schema`` is
+    that of the result's columns. Broken files are left out."""
+    kinds = to_arrow_schema(StructType.fromDDL("recording_id string, " + schema))
+    names = kinds.names[1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    found = fn(*decode(content.as_buffer(), skip_secs, max_secs, channel))
+                except (ValueError, struct.error):
+                    continue
+                rows.append({"recording_id": path.as_py().replace("\\", "/").rsplit("/", 1)[-1]} | {n: found[n] for n in names})
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    return files.select("path", "content").mapInArrow(run, "recording_id string, " + schema)
+
+
 def signals_of_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", rate: int = 64) -> DataFrame:
     return vectors.select(F.col(key).alias("recording_id"), F.lit(rate).alias("sample_rate"), F.col(vector).cast("array<double>").alias("samples"))
 

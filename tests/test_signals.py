@@ -263,3 +263,17 @@ def test_one_file_and_the_schema_of_signals(spark, tmp_path):
     with pytest.raises(ValueError, match="samples"):
         audio.check_signals(f.withColumn("samples", F.lit(1)))
     assert f.select(plotdata.kilohertz_of(F.lit(1234.0)).alias("k")).first().k == plotdata.kilohertz(1234.0) == "1.2"
+
+
+def test_files_in_one_stage_equal_signals(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    for n in (0, 3, 400, 1000):
+        (tmp_path / f"d{n}.wav").write_bytes(audio.wav_bytes(rng.normal(0, 0.2, n), 100))
+    (tmp_path / "bad.wav").write_bytes(b"RIFF....WAVE")
+    files = audio.wav_files(spark, str(tmp_path))
+    c = FeatureConfig(sample_rate=100, n_fft=16, win_length=16, hop_length=8, n_mels=4)
+    whole = audio.read_recordings(files)
+    assert sorted(map(tuple, stats.file_stats(files, 1.0).collect())) == sorted(map(tuple, stats.signal_stats(whole, 1.0).collect()))
+    got = {r.recording_id: r.features for r in spectral.file_features(files, c, 1.0).collect()}
+    expect = {r.recording_id: r.features for r in spectral.feature_vectors(audio.read_recordings(files, 1.0), c).collect()}
+    assert got == expect and len(got) == 4
