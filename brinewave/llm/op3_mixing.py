@@ -18,7 +18,8 @@ all others; a source of size 0 has target 0; empty tables give an empty
 result; repeated rows are documents of their own, and of equal rows it doesn't
 matter which is taken; rows that share an id (or have none) are told apart by a
 hash of the row; a very long text counts whole; clashing columns are no matter,
-as working columns are selected first. Targets are reached by
+as working columns are selected first, but an input column named ``copy`` gives
+way to the output's. Targets are reached by
 water-filling: what exceeds ``MAX_COPIES`` times a source's size goes to the
 others by weight.
 """
@@ -30,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table, word_count
+from .common import other_columns, stash, table, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -140,21 +141,22 @@ def sample_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
     Copies are decided on narrow rows and joined to the texts by id and a hash
     of the row; the texts are shuffled only if more rows are taken than may be
     broadcast. Equal rows are taken as one row with the copies of all of them.
+    A column ``copy`` of ``docs`` counts as a part of its rows and is replaced.
     """
     decided = stash(copies(sized(docs, key, source, text), **how).select("key", "row", "copies"), "op3-copies")
-    names, identity = docs.columns, ["__op3_key", "__op3_row"]
-    each = decided.groupBy(F.col("key").alias("taken_key"), F.col("row").alias("taken_row")).agg(F.sum("copies").alias("__op3_copies"), F.count(F.lit(1)).alias("__op3_rows"))
+    names, identity = other_columns(docs, "copy"), ["__op3_key", "__op3_row"]
+    each = decided.groupBy(F.col("key").alias("__op3_taken_key"), F.col("row").alias("__op3_taken_row")).agg(F.sum("copies").alias("__op3_copies"), F.count(F.lit(1)).alias("__op3_rows"))
     repeated = stash(each.filter(F.col("__op3_rows") > 1), "op3-repeated")
     rows = docs.withColumn("__op3_key", F.col(key)).withColumn("__op3_row", row_of(docs))
-    met = rows["__op3_key"].eqNullSafe(F.col("taken_key")) & (rows["__op3_row"] == F.col("taken_row"))
+    met = rows["__op3_key"].eqNullSafe(F.col("__op3_taken_key")) & (rows["__op3_row"] == F.col("__op3_taken_row"))
     parts = []
     if repeated.limit(1).count():
-        taken = decided.join(repeated, decided["key"].eqNullSafe(repeated["taken_key"]) & (decided["row"] == repeated["taken_row"]), "left_anti")
+        taken = decided.join(repeated, decided["key"].eqNullSafe(repeated["__op3_taken_key"]) & (decided["row"] == repeated["__op3_taken_row"]), "left_anti")
         # equal rows are made one before the shuffle, so a hot one costs a row for each task
         parts.append(rows.join(narrow(repeated), met, "left_semi").dropDuplicates(identity).join(narrow(repeated.filter("__op3_copies > 0")), met))
     else:
         taken = decided
-    taken = taken.filter("copies > 0").select(F.col("key").alias("taken_key"), F.col("row").alias("taken_row"), F.col("copies").alias("__op3_copies"))
+    taken = taken.filter("copies > 0").select(F.col("key").alias("__op3_taken_key"), F.col("row").alias("__op3_taken_row"), F.col("copies").alias("__op3_copies"))
     parts.append(rows.join(narrow(taken), met))
     return parts_of(parts, names)
 

@@ -53,6 +53,9 @@ def test_rows_that_share_an_id(spark):
     assert out.columns == [*docs.columns, "copy"]
     taken = Counter((r.doc_id, r.source, len(r.text.split())) for r in out.collect())
     assert taken == +decided
+    clash = docs.withColumn("Copy", docs.row).withColumn("taken_key", docs.text).withColumn("taken_row", docs.text)
+    again = op.sample_mix(clash)
+    assert again.columns == [*docs.columns, "taken_key", "taken_row", "copy"] and again.count() > 0
     times, whole = Counter(rows), Counter(tuple(r)[:4] for r in out.collect())
     assert set(whole) <= set(times) and all(n <= 2 * times[r] for r, n in whole.items())
 
