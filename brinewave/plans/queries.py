@@ -385,7 +385,7 @@ def resample_half(spark, d):
     return samples_out(spectral.resampled(signals(spark, d), 32, 64))
 
 
-@query(f"WITH {_mel(64_000, 1024, 128)} SELECT mel, CASE WHEN max(w) > 0 THEN round(first(bin ORDER BY w DESC, bin) * 62.5, 4) + 0.0 END AS center_freq FROM fb GROUP BY mel")
+@query(f"WITH {_mel(64_000, 1024, 128)} SELECT mel, CASE WHEN max(w) > 0 THEN CAST(first(bin ORDER BY w DESC, bin) * 62.5 AS DOUBLE) END AS center_freq FROM fb GROUP BY mel")
 def filter_centers(spark, d):
     c = FeatureConfig()
     return spectral.filter_centers(spectral.mel_filterbank(spark, c), c).select("mel", r("center_freq", 4).alias("center_freq"))
