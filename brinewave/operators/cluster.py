@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,13 +53,15 @@ def squared_distance(v: Column, w: Column) -> Column:
     return F.aggregate(F.zip_with(v, w, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
 
 
-def nearest(df: DataFrame, centroids: list[list[float]], vector: str = "features") -> DataFrame:
-    """Adds cluster and dist2: the nearest centroid, the first of equals."""
-    return _nearest(df, [F.array(*(F.lit(float(x)) for x in c)) for c in centroids], vector)
+def constant(rows: list[list[float]]) -> Column:
+    """Rows of numbers as one literal, so that plans don't grow with them."""
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<double>>")
 
 
-def _nearest(df: DataFrame, arrays: list[Column], vector: str) -> DataFrame:
-    best = F.array_min(F.array(*(F.struct(squared_distance(F.col(vector), a).alias("dist2"), F.lit(k).alias("cluster")) for k, a in enumerate(arrays))))
+def nearest(df: DataFrame, centroids: list[list[float]], vector: str = "features") -> DataFrame:
+    """Adds cluster and dist2: the nearest centroid, the first of equals."""
+    rows = constant([[float(x) for x in c] for c in centroids])
+    best = F.array_min(F.transform(rows, lambda c, k: F.struct(squared_distance(F.col(vector), c).alias("dist2"), k.alias("cluster"))))
     return df.withColumn("__best", best).withColumn("cluster", F.col("__best.cluster")).withColumn("dist2", F.col("__best.dist2")).drop("__best")
 
 
@@ -109,15 +112,15 @@ def silhouette_cosine(df: DataFrame, key: str, label: str, vector: str = "featur
     sizes = dict(cluster_sizes(unit, "cluster"))
     if not 2 <= len(sizes) <= sum(sizes.values()) - 1:
         raise ValueError("a silhouette needs two clusters at least, and fewer than points")
-    means = {r["cluster"]: list(r["centroid"]) for r in centroids_of(unit, vector).collect()}
-    v = F.col(vector)
-    dot = lambda c: F.aggregate(F.zip_with(v, F.array(*(F.lit(float(x)) for x in means[c])), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    self_cos = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    own = F.coalesce(*(F.when(F.col("cluster") == c, (F.lit(float(n)) - dot(c) * n - (1 - self_cos)) / max(n - 1, 1)) for c, n in sizes.items()))
-    other = F.array_min(F.array(*(F.when(F.col("cluster") != c, 1 - dot(c)) for c in sizes)))
-    alone = F.coalesce(*(F.when(F.col("cluster") == c, F.lit(n == 1)) for c, n in sizes.items()))
+    means = {r["cluster"]: [float(x) for x in r["centroid"]] for r in centroids_of(unit, vector).collect()}
+    labels, dot = list(sizes), lambda v, w: F.aggregate(F.zip_with(v, w, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    number = F.array_position(F.lit(labels), F.col("cluster")).cast("int") - 1
+    scored = unit.select(key, number.alias("own"), F.transform(constant([means[c] for c in labels]), lambda w: dot(F.col(vector), w)).alias("dots"), dot(F.col(vector), F.col(vector)).alias("self"))
+    size = F.get(F.lit([float(n) for n in sizes.values()]), F.col("own"))
+    mean_own = (size - F.get("dots", F.col("own")) * size - (1 - F.col("self"))) / F.greatest(size - 1, F.lit(1.0))
+    others = F.transform("dots", lambda d, k: F.when(k != F.col("own"), 1 - d))
     a, b = F.col("a"), F.col("b")
-    return unit.select(key, own.alias("a"), other.alias("b"), alone.alias("alone")).select(key, F.when(F.col("alone"), 0.0).otherwise((b - a) / F.greatest(a, b)).alias("silhouette"))
+    return scored.select(key, mean_own.alias("a"), F.array_min(others).alias("b"), (size == 1).alias("alone")).select(key, F.when(F.col("alone"), 0.0).otherwise((b - a) / F.greatest(a, b)).alias("silhouette"))
 
 
 def silhouette_euclidean(df: DataFrame, key: str, label: str, vector: str = "features", most: int = MAX_SILHOUETTE) -> DataFrame:
