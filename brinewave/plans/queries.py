@@ -457,6 +457,20 @@ def kmeans(spark, d):
     return assigned.select("vec_id", "cluster", "dist2")
 
 
+@query("SELECT count(*) AS n, 8 AS clusters, true AS settled, true AS closer FROM embeddings")
+def kmeans_fit(spark, d):
+    """What holds of any good fit: all clusters are used, another update gains
+    less than a hundredth, and the centroids are closer than the overall mean."""
+    rows = cluster.normalize(vectors(spark, d), 1)
+    assigned, centers, _ = cluster.kmeans(rows, k=8, restarts=10)
+    updated, _ = cluster.lloyd(rows, centers, 1)
+    middle, _ = cluster.lloyd(rows, centers[:1], 1)
+    total = lambda df, name: df.agg(F.sum("dist2").alias(name))
+    sums = assigned.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").cast("int").alias("clusters"), F.sum("dist2").alias("now"))
+    both = sums.join(total(updated, "then")).join(total(middle, "one"))
+    return both.select("n", "clusters", (F.col("then") >= 0.99 * F.col("now")).alias("settled"), (F.col("now") < F.col("one")).alias("closer"))
+
+
 @query("SELECT label AS cluster, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS members FROM embeddings GROUP BY label")
 def cluster_members(spark, d):
     found = cluster.members(vectors(spark, d), "label", "vec_id")
@@ -540,6 +554,17 @@ def pca_spread(spark, d):
     return out.agg(r(F.sum(F.aggregate("pcs", F.lit(0.0), lambda a, x: a + x * x)), 9).alias("spread"))
 
 
+@query("SELECT count(*) AS n, true AS centred, true AS ordered, true AS uncorrelated FROM embeddings")
+def pca_fit(spark, d):
+    """What holds of any principal components: they are centred, of falling
+    variance, and without correlation."""
+    out, _, _ = cluster.pca(cluster.normalize(vectors(spark, d), 1), 2)
+    x, y = F.col("pcs")[0], F.col("pcs")[1]
+    found = out.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.corr(x, y).alias("r"))
+    small = F.lit(1e-9)
+    return found.select("n", ((F.abs("mx") < small) & (F.abs("my") < small)).alias("centred"), (F.col("vx") >= F.col("vy")).alias("ordered"), (F.abs("r") < 1e-6).alias("uncorrelated"))
+
+
 @query()
 def pca2(spark, d):
     out, _, _ = cluster.pca(cluster.normalize(vectors(spark, d), 1), 2)
