@@ -216,6 +216,20 @@ def test_upgma_and_embedding(spark):
         cluster.embed(x[:10], perplexity=30)
 
 
+def test_average_linkage_of_many_points(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 5))
+    x[100:120], x[149] = x[3], 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    few = sorted(map(tuple, cluster.agglomerative(df, 6, "id").collect()))
+    monkeypatch.setattr(cluster, "MAX_POINTS", 100)
+    assert sorted(map(tuple, cluster.agglomerative(df, 6, "id").collect())) == few and len(few) == 150
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(length > 0, length, 1)
+    for k in (1, 3, 40, 140):
+        assert (cluster.upgma(1 - u @ u.T, k) == cluster.upgma_cosine(u, k)).all()
+
+
 def test_signals_no_longer_than_the_head(spark):
     f = frame(spark, {"a": range(12), "b": [5, 6, 7], "e": []})
     rows = {(r.recording_id, r.i, r.t, r.amplitude) for r in sig.decimate_stride(f, 5, 1.0).collect()}
