@@ -230,6 +230,25 @@ def test_average_linkage_of_many_points(spark, monkeypatch):
         assert (cluster.upgma(1 - u @ u.T, k) == cluster.upgma_cosine(u, k)).all()
 
 
+def test_embedding_of_many_points(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    y = rng.normal(size=(300, 2)) * 9
+    away = y[:, None] - y[None]
+    q = 1 / (1 + (away**2).sum(2))
+    np.fill_diagonal(q, 0)
+    found, total = cluster.repulsion(y, {})
+    exact = ((q * q)[:, :, None] * away).sum(1)
+    assert np.abs(found - exact).max() < 0.05 * np.abs(exact).max() and abs(total / q.sum() - 1) < 0.01
+    x = np.concatenate([rng.normal(size=(50, 6)) + 20 * i for i in range(3)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    monkeypatch.setattr(cluster, "MAX_POINTS", 100)
+    rows = cluster.tsne(df, "id", perplexity=10, iterations=400).orderBy("id").collect()
+    z = np.array([(r.x, r.y) for r in rows])
+    assert z.shape == (150, 2) and np.isfinite(z).all()
+    near = np.argsort(((z[:, None] - z[None]) ** 2).sum(2), axis=1)[:, 1:6]
+    assert (near // 50 == (np.arange(150) // 50)[:, None]).mean() > 0.99
+
+
 def test_signals_no_longer_than_the_head(spark):
     f = frame(spark, {"a": range(12), "b": [5, 6, 7], "e": []})
     rows = {(r.recording_id, r.i, r.t, r.amplitude) for r in sig.decimate_stride(f, 5, 1.0).collect()}
