@@ -237,6 +237,7 @@ def representative_components(docs: DataFrame, reps: DataFrame, key: str, text:
     ranked = both.withColumn("rank", F.when(F.col("rep") == F.col("first"), F.lit(1.0)).otherwise(place)).drop("first")
     named, left, _ = stash_counted(ranked.withColumn("label", F.col("rep")), "op7-lists")
     merges: list[DataFrame] = []  # of each round: label, and the label of the component that it is now in
+    merged = 0  # rows of them, at most
     low, high = 1, 2
     while left:
         hubs = named.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("k", "v", F.col("rep").alias("a"), F.col("rank").alias("at"), F.col("label").alias("la"), F.col("n").alias("n_hub"), F.col("left").alias("left_hub"))
@@ -247,7 +248,8 @@ def representative_components(docs: DataFrame, reps: DataFrame, key: str, text:
         rows = named.filter(F.col("size") >= high)
         if n:
             # only labels are merged: what is one component by now is one node
-            merges.append(stash(components(found, "la", "lb"), "op7-merges"))
+            merges.append(stash(components(found, "la", "lb", n), "op7-merges"))
+            merged += 2 * n
             rows = rows.join(merges[-1], rows["label"] == merges[-1]["node"], "left").withColumn("label", F.coalesce("component", "label")).drop("node", "component")
         # what lies within one component is finished
         spread = rows.groupBy("k", "v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("k", "v")
@@ -256,12 +258,13 @@ def representative_components(docs: DataFrame, reps: DataFrame, key: str, text:
         discard(old, found)
         low, high = high, high + WIDEN * (high - 1)
     discard(named, sets, sketch)
-    labels = spark.createDataFrame([], "node long, component long")
-    for merge in merges:
-        step = merge.select(F.col("node").alias("was"), F.col("component").alias("now"))
-        known = labels.join(step, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
-        labels = known.union(merge.join(labels.select("node"), "node", "left_anti").select("node", "component"))
-    return labels
+    if not merges:
+        return spark.createDataFrame([], "node long, component long")
+    # a label and what it was merged into are one component, whatever the round
+    steps = merges[0]
+    for merge in merges[1:]:
+        steps = steps.union(merge)
+    return components(steps, "node", "component", merged)
 
 
 def label_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:

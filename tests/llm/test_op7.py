@@ -132,3 +132,24 @@ def test_components(spark):
         assert found[start] == min(seen)
     assert set(found) == set(near)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_edges_in_one_task_equal_many(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 - i, 1001 - i) for i in range(90)] + [(7, 7)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    few, many = components(frame, count=len(edges)), components(frame)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert components(frame.limit(0), count=0).count() == 0
+    # rounds of merges are put together without a join for each, which would
+    # double the plan with every round
+    chain, texts, found = [f"w{i}" for i in range(120)], [], []
+    for i in range(30):
+        texts.append((i, " ".join(chain)))
+        chain = chain[4:] + [f"x{i}-{k}" for k in range(4)]
+    real = op.representative_components
+    monkeypatch.setattr(op, "representative_components", lambda *a: found.append(real(*a)) or found[-1])
+    same(spark, texts)
+    assert "Join" not in found[0]._jdf.queryExecution().logical().toString()
+    monkeypatch.setattr("brinewave.llm.components.FEW_EDGES", 0)
+    same(spark, texts)
