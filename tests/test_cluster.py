@@ -21,6 +21,7 @@ TABLES = Path("/root/testdata/sf0.001")
 ROOT = Path(__file__).resolve().parents[1]
 NAMES = [
     "cluster_members",
+    "cluster_sample_seeded",
 ]
 
 DRIVER = """
