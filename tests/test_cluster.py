@@ -22,6 +22,7 @@ ROOT = Path(__file__).resolve().parents[1]
 NAMES = [
     "cluster_members",
     "cluster_sample_seeded",
+    "crop_head_too_short",
 ]
 
 DRIVER = """
