@@ -23,6 +23,7 @@ NAMES = [
     "cluster_members",
     "cluster_sample_seeded",
     "crop_head_too_short",
+    "decimate_exact_float32",
 ]
 
 DRIVER = """
