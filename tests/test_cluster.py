@@ -24,6 +24,7 @@ NAMES = [
     "cluster_sample_seeded",
     "crop_head_too_short",
     "decimate_exact_float32",
+    "duration_cap",
 ]
 
 DRIVER = """
