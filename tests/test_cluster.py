@@ -25,6 +25,7 @@ NAMES = [
     "crop_head_too_short",
     "decimate_exact_float32",
     "duration_cap",
+    "feature_map",
 ]
 
 DRIVER = """
