@@ -26,6 +26,7 @@ NAMES = [
     "decimate_exact_float32",
     "duration_cap",
     "feature_map",
+    "filter_centers",
 ]
 
 DRIVER = """
