@@ -27,6 +27,7 @@ NAMES = [
     "duration_cap",
     "feature_map",
     "filter_centers",
+    "hann_window",
 ]
 
 DRIVER = """
