@@ -28,6 +28,7 @@ NAMES = [
     "feature_map",
     "filter_centers",
     "hann_window",
+    "keep_candidates",
 ]
 
 DRIVER = """
