@@ -29,6 +29,7 @@ NAMES = [
     "filter_centers",
     "hann_window",
     "keep_candidates",
+    "kmeans_steps",
 ]
 
 DRIVER = """
