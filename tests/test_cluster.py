@@ -30,6 +30,7 @@ NAMES = [
     "hann_window",
     "keep_candidates",
     "kmeans_steps",
+    "linear_db",
 ]
 
 DRIVER = """
