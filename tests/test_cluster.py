@@ -31,6 +31,7 @@ NAMES = [
     "keep_candidates",
     "kmeans_steps",
     "linear_db",
+    "mel_filterbank_slaney",
 ]
 
 DRIVER = """
