@@ -32,6 +32,7 @@ NAMES = [
     "kmeans_steps",
     "linear_db",
     "mel_filterbank_slaney",
+    "mute_head",
 ]
 
 DRIVER = """
