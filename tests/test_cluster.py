@@ -33,6 +33,7 @@ NAMES = [
     "linear_db",
     "mel_filterbank_slaney",
     "mute_head",
+    "pad_right",
 ]
 
 DRIVER = """
