@@ -34,6 +34,7 @@ NAMES = [
     "mel_filterbank_slaney",
     "mute_head",
     "pad_right",
+    "pca_fit",
 ]
 
 DRIVER = """
