@@ -35,6 +35,7 @@ NAMES = [
     "mute_head",
     "pad_right",
     "pca_fit",
+    "power_spectrogram",
 ]
 
 DRIVER = """
