@@ -36,6 +36,7 @@ NAMES = [
     "pad_right",
     "pca_fit",
     "power_spectrogram",
+    "recording_times",
 ]
 
 DRIVER = """
