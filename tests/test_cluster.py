@@ -37,6 +37,7 @@ NAMES = [
     "pca_fit",
     "power_spectrogram",
     "recording_times",
+    "signal_stats",
 ]
 
 DRIVER = """
