@@ -38,6 +38,7 @@ NAMES = [
     "power_spectrogram",
     "recording_times",
     "signal_stats",
+    "single_band",
 ]
 
 DRIVER = """
